@@ -95,7 +95,7 @@ def schedule(t: DataFrame, slots: int, scratch: common.Scratch) -> DataFrame:
 def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """All of docs (doc_id, text, source) as one row a document, with its source's target and the words that the mix takes of it.
 
-    doc_id, size, source_size, target, taken, source_index, and pieces: (slot, first word, words) of each
+    doc_id, size, source_size, target, taken, source_index, and pieces: (slot, copy, first word, words) of each
     piece in the mix, first word counted from 0. Null text has no words and no pieces; null source is a
     source, the last. Repeated rows are documents of their own. Empty docs give no rows.
     """
@@ -116,13 +116,13 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     d = scratch.write(d.withColumnRenamed("__before", "start").withColumnRenamed("__rank", "rank").drop("h"), "laid")
 
     # where each copy of a document lies in its source's endless line, cut at the blocks' ends
-    copies = d.where("size > 0").withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("start") + e * F.col("source_size"))))
+    copies = d.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("at", F.col("start") + F.col("copy") * F.col("source_size"))
     numbers = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))
-    pieces = copies.where(F.col("at") < F.col("target") + 8 * block).select("idx", "rank", "at", "size", F.explode(numbers).alias("number"))
+    pieces = copies.where(F.col("at") < F.col("target") + 8 * block).select("idx", "rank", "copy", "at", "size", F.explode(numbers).alias("number"))
     low, high = F.greatest("at", F.col("number") * block), F.least(F.col("at") + F.col("size"), (F.col("number") + 1) * block)
-    pieces = pieces.select("idx", "rank", "number", (low - F.col("at")).alias("first"), (high - low).alias("words"))
+    pieces = pieces.select("idx", "rank", "copy", "number", (low - F.col("at")).alias("first"), (high - low).alias("words"))
     taken = pieces.join(schedule(t, slots, scratch), ["idx", "number"]) if slots else pieces.limit(0).withColumn("k", F.lit(0).cast("long"))
-    taken = taken.groupBy("idx", "rank").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct(F.col("k").alias("slot"), "first", "words"))).alias("pieces"))
+    taken = taken.groupBy("idx", "rank").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct(F.col("k").alias("slot"), "copy", "first", "words"))).alias("pieces"))
     out = d.join(taken, ["idx", "rank"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("idx").alias("source_index"), "pieces")
 
