@@ -1,10 +1,70 @@
-"""The corpus pipeline: language ID, exact dedup, near-dedup, mixing, packing."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, mixing to target weights, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; between stages
+the rows are a Parquet table. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import common, exact_dup, language, mixing, near_dup, packing
+
+
+def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """docs without the rows whose doc_id is in gone."""
+    gone = common.Scratch(docs.sparkSession, name).write(gone.select("doc_id"), "gone")
+    return docs.join(common.bounded(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; null texts, texts without a letter and narrow margins go."""
+    return language.accepted_documents(docs, language.fit(language.training_rows(docs)))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _without(docs, exact_dup.exact_duplicates(docs).where("not kept"), "exact-gone")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return _without(docs, near_dup.near_duplicates(docs, width=5, percent=80).where("not kept"), "near-gone")
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix, in the order of its schedule: documents as often as it takes them, up to twice; the last that a
+    source gives may be cut after the words that were taken."""
+    pieces = mixing.mixed(docs).select("doc_id", "size", F.explode("pieces").alias("p"))
+    copies = pieces.groupBy("doc_id", "size", "p.copy").agg(F.min("p.slot").alias("slot"), F.sum("p.words").alias("words"))
+    copies = copies.select(F.col("doc_id").alias("id"), "size", "slot", "words")
+    both = docs.join(copies, docs.doc_id == F.col("id"))
+    words = F.split(F.btrim("text", F.lit(common.SPACE)), "[\\x20\\x09-\\x0D]+", -1)
+    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("words").cast("int")), " ")).otherwise(F.col("text"))
+    out = both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return out.repartitionByRange("slot").sortWithinPartitions("slot").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack_in_order(docs)
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("mixing", mixed_sources),
+    ("packing", packed),
+]
+#: Language ID and the schedule's floating point cannot be told in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = common.Scratch(spark, "pipeline")
+    docs = common.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)
