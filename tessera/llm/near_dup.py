@@ -13,9 +13,10 @@ Plan
 2. Band keys are exploded and counted. Each bucket names its least member as pivot; each member is
    verified against the pivot with which it shares most buckets: one pair a member, however large
    the bucket. Links give first components.
-3. In buckets that still hold several components, members outside the largest one meet the members of
-   other components in an equi-join whose condition compares the two-bit sketches, so only pairs
-   that may reach the threshold leave it; they are verified as well and the components joined.
+3. Buckets that still hold several components are joined to clusters. Within a cluster, documents outside its
+   largest component are compared with all documents of other components, in blocks of 256 by 256:
+   a task gets the sets of a block, skips what sizes and two-bit sketches exclude, counts intersections and
+   returns links only. So no pairs are emitted, and a large cluster is spread over many tasks.
 Pairs are verified on the full sets, which are made anew from the texts of the documents in pairs.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^4)^32 = 5e-8 and fails the
@@ -38,6 +39,8 @@ T, ROWS = 128, 4
 BANDS = T // ROWS
 #: Most differing bits of 256; a pair at 0.8 differs in 25.6 with a deviation of 5.8.
 MAX_BITS = 64
+#: Documents on either side of a block of comparisons.
+BLOCK = 256
 #: Hashes that are sketched at once.
 CHUNK = 400_000
 _MAX = np.uint64(2**64 - 1)
@@ -173,6 +176,28 @@ def _checker(percent: int):
     return run
 
 
+def _block_checker(percent: int):
+    def run(block: pa.Table) -> pa.Table:
+        asks = block["asks"].to_numpy()
+        rep, c, n, minor = (block[k].to_numpy() for k in ("rep", "c", "n", "minor"))
+        bits = np.stack([block[f"b{k}"].to_numpy() for k in range(4)], 1)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block["hashes"]]
+        told, found = np.flatnonzero(~asks), []
+        for q in np.flatnonzero(asks):
+            may = (c[told] != c[q]) & (~minor[told] | (rep[told] > rep[q])) & (100 * n[told] >= percent * n[q]) & (100 * n[q] >= percent * n[told])
+            near = told[may]
+            near = near[np.bitwise_count(bits[near] ^ bits[q]).sum(1) <= MAX_BITS]
+            for at in range(0, len(near), 64):
+                some = near[at : at + 64]
+                flat = np.concatenate([sets[i] for i in some])
+                hit = sets[q][np.minimum(np.searchsorted(sets[q], flat), len(sets[q]) - 1)] == flat
+                k = np.add.reduceat(hit.astype(np.int64), np.cumsum(n[some]) - n[some])
+                found += [(rep[q], rep[i]) for i in some[100 * k >= percent * (n[q] + n[some] - k)]]
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return run
+
+
 def _differ(x: str, y: str) -> str:
     return " + ".join(f"bit_count({x}.b{k} ^ {y}.b{k})" for k in range(4))
 
@@ -213,10 +238,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = scratch.write(components(links, scratch, "cc1"), "first")
 
     found = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("c"))
-    main = found.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c"))["c"].alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
-    open_ = scratch.write(found.join(main, "key").join(traits, "rep"), "open")
-    apart = open_.where("c <> main").alias("x").join(open_.alias("y"), F.expr(f"x.key = y.key AND x.c <> y.c AND (y.c = y.main OR x.rep < y.rep) AND {may}"))
-    more = verified(apart.selectExpr("least(x.rep, y.rep) AS a", "greatest(x.rep, y.rep) AS b").distinct(), "apart")
+    split = found.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("rep").alias("hub")).where("low <> high").select("key", "hub")
+    open_ = scratch.write(found.join(split, "key").select("rep", "c", "hub").distinct(), "open")
+    more = _between(open_, traits, docs, width, percent, scratch)
     joined = more.join(first.withColumnRenamed("node", "a").withColumnRenamed("root", "ra"), "a", "left").join(first.withColumnRenamed("node", "b").withColumnRenamed("root", "rb"), "b", "left")
     second = components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), scratch, "cc2")
     second = scratch.write(second, "second")
@@ -227,6 +251,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def _between(open_: DataFrame, traits: DataFrame, docs: DataFrame, width: int, percent: int, scratch: common.Scratch) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket: open_ has rep, its component c, and a hub of the bucket."""
+    hubs = scratch.write(components(open_.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch, "cc-open"), "clusters")
+    each = open_.select("rep", "c").distinct().join(hubs.select(F.col("node").alias("rep"), F.col("root").alias("g")), "rep")
+    sizes = each.groupBy("g", "c").count()
+    sizes = sizes.groupBy("g").agg(F.max(F.struct("count", "c"))["c"].alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    each = each.join(sizes, "g").join(traits, "rep").withColumn("minor", F.col("c") != F.col("main"))
+    parts = lambda rows: F.ceil(F.col(rows) / BLOCK).cast("int")
+    each = each.withColumn("rows", parts("all")).withColumn("queries", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"))
+    each = each.withColumn("h", F.xxhash64("rep")).drop("main", "all", "most")
+    ids = scratch.write(each.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
+    some = docs.join(common.bounded(ids, ids.count()), "doc_id", "left_semi")
+    sets = some.mapInArrow(_setter(width), "id long, hashes binary").dropDuplicates(["id"])
+    each = scratch.write(each.join(sets.withColumnRenamed("id", "rep"), "rep"), "open-sets")
+    asks = each.where("minor").withColumn("qi", F.pmod("h", "queries")).withColumn("ri", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("asks", F.lit(True))
+    told = each.withColumn("ri", F.pmod("h", "rows")).withColumn("qi", F.explode(F.sequence(F.lit(0), F.col("queries") - 1))).withColumn("asks", F.lit(False))
+    columns = ["g", F.col("qi").cast("int").alias("qi"), F.col("ri").cast("int").alias("ri"), "asks", "rep", "c", "minor", "n", "b0", "b1", "b2", "b3", "hashes"]
+    blocks = asks.select(*columns).union(told.select(*columns))
+    return scratch.write(blocks.groupBy("g", "qi", "ri").applyInArrow(_block_checker(percent), "a long, b long"), "more")
+
+
 def components(edges: DataFrame, scratch: common.Scratch, name: str) -> DataFrame:
     return common.components(edges, scratch, name)
 
