@@ -2,5 +2,21 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.functions.scalars import SCALARS
+from tessera.operators import joins
+from tessera.operators.relational import RELATIONAL
+from tessera.sources import tables
+from tessera.streaming import events
+
+
+def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: tables.sql(spark, sf_dir, text)
+
+
+_TEXTS = {name: q if isinstance(q, tuple) else (q, q) for name, q in (RELATIONAL | SCALARS).items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(q[0]) for name, q in _TEXTS.items()} | joins.QUERIES | events.QUERIES
+SQL: dict[str, str] = {name: q[1] for name, q in _TEXTS.items()} | joins.SQL | events.SQL

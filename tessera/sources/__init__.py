@@ -1 +1 @@
-"""tessera.sources."""
+"""Scans and sinks."""
