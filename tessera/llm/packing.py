@@ -100,7 +100,8 @@ def _packer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, ends_sentence = WordIds(path), sentence_ends(path)
+        words = WordIds(path)
+        ends_sentence = sentence_ends(words.vocab())
         items, held, number = [], 0, TaskContext.get().partitionId() << 36
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):

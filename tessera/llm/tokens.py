@@ -9,7 +9,9 @@ from __future__ import annotations
 import numpy as np
 
 #: Words whose ids a task keeps at a time.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 500_000
+#: ASCII marks, without the apostrophe, which the tokenizer may join to letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The id that ends a document.
 END = 1
 
@@ -21,23 +23,28 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self._encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self._encode, self.vocab = tokenizer.encode, tokenizer.get_vocab
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= WORDS_KEPT:
             self.clear()
-        out = self[word] = np.array(self._encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = word.decode()
+        core = text.rstrip(MARKS)
+        if core.isalpha() and (low := core.lower() if core.isascii() else core) != text:
+            # letters and the marks behind them are encoded apart, and case does not count: the same ids from fewer encodings
+            tail = text[len(core) :]
+            out = self[word] = self[low.encode()] + (self[tail.encode()] if tail else b"")
+        else:
+            out = self[word] = np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
     def ids(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or b"").split())) + END.to_bytes(4, "little")
 
 
-def sentence_ends(path: str) -> np.ndarray:
+def sentence_ends(vocab: dict[str, int]) -> np.ndarray:
     """For each id whether it ends a word with a full stop, question or exclamation mark."""
-    from tokenizers import Tokenizer
-
-    vocab = Tokenizer.from_file(path).get_vocab()
     out = np.zeros(max(vocab.values()) + 1, bool)
     for piece, i in vocab.items():
         if piece.endswith("</w>") and piece[:-4].rstrip("\"')]")[-1:] in (".", "!", "?"):
