@@ -10,8 +10,6 @@ import numpy as np
 
 #: Words whose ids a task keeps at a time.
 WORDS_KEPT = 500_000
-#: ASCII marks, without the apostrophe, which the tokenizer may join to letters.
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The id that ends a document.
 END = 1
 
@@ -25,22 +23,31 @@ class WordIds(dict):
         super().__init__()
         tokenizer = Tokenizer.from_file(path)
         self._encode, self.vocab = tokenizer.encode, tokenizer.get_vocab
+        self._ends = np.zeros(max(self.vocab().values()) + 1, bool)
+        self._ends[[i for piece, i in self.vocab().items() if piece.endswith("</w>")]] = True
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        text = word.decode()
-        core = text.rstrip(MARKS)
-        if core.isalpha() and (low := core.lower() if core.isascii() else core) != text:
-            # letters and the marks behind them are encoded apart, and case does not count: the same ids from fewer encodings
-            tail = text[len(core) :]
-            out = self[word] = self[low.encode()] + (self[tail.encode()] if tail else b"")
-        else:
-            out = self[word] = np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        out = self[word] = np.array(self._encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode many words of letters at once: each gives one run of ids that ends with an end-of-word id."""
+        ids = np.array(self._encode(" ".join([w.decode() for w in words]), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self._ends[ids]) + 1
+        if len(stops) == len(words) and stops[-1] == len(ids):
+            raw, a = ids.tobytes(), 0
+            for word, b in zip(words, (4 * stops).tolist(), strict=True):
+                self[word] = raw[a:b]
+                a = b
+
     def ids(self, text: bytes | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or b"").split())) + END.to_bytes(4, "little")
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        words = (text or b"").split()
+        if new := [w for w in {*words}.difference(self) if w.isalpha()]:  # ASCII letters only
+            for at in range(0, len(new), 2000):
+                self._learn(new[at : at + 2000])
+        return b"".join(map(self.__getitem__, words)) + END.to_bytes(4, "little")
 
 
 def sentence_ends(vocab: dict[str, int]) -> np.ndarray:
