@@ -44,7 +44,7 @@ class WordIds(dict):
         if len(self) >= WORDS_KEPT:
             self.clear()
         words = (text or b"").split()
-        if new := [w for w in {*words}.difference(self) if w.isalpha()]:  # ASCII letters only
+        if new := [w for w in {*words} if w not in self and w.isalpha()]:  # ASCII letters only
             for at in range(0, len(new), 2000):
                 self._learn(new[at : at + 2000])
         return b"".join(map(self.__getitem__, words)) + END.to_bytes(4, "little")
