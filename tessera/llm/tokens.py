@@ -10,6 +10,8 @@ import numpy as np
 
 #: Words whose ids a task keeps at a time.
 WORDS_KEPT = 500_000
+#: ASCII marks, without the apostrophe, which the tokenizer may join to letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The id that ends a document.
 END = 1
 
@@ -31,12 +33,23 @@ class WordIds(dict):
         return out
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode many words of letters at once: each gives one run of ids that ends with an end-of-word id."""
-        ids = np.array(self._encode(" ".join([w.decode() for w in words]), add_special_tokens=False).ids, "<u4")
+        """Encode many new words at once. Letters give one run of ids that ends with an end-of-word id, and marks behind
+        them another; if the runs do not add up, the words are left to be encoded singly."""
+        texts, runs, known = [], [], []
+        for word in words:
+            text = word.decode()
+            core = text.rstrip(MARKS)
+            if core.isalpha() and "\u0130" not in core:
+                texts.append(text)
+                runs.append(1 + (len(core) < len(text)))
+                known.append(word)
+        if not known:
+            return
+        ids = np.array(self._encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
         stops = np.flatnonzero(self._ends[ids]) + 1
-        if len(stops) == len(words) and stops[-1] == len(ids):
+        if len(stops) == sum(runs) and stops[-1] == len(ids):
             raw, a = ids.tobytes(), 0
-            for word, b in zip(words, (4 * stops).tolist(), strict=True):
+            for word, b in zip(known, (4 * stops[np.cumsum(runs) - 1]).tolist(), strict=True):
                 self[word] = raw[a:b]
                 a = b
 
@@ -44,9 +57,9 @@ class WordIds(dict):
         if len(self) >= WORDS_KEPT:
             self.clear()
         words = (text or b"").split()
-        if new := [w for w in {*words} if w not in self and w.isalpha()]:  # ASCII letters only
-            for at in range(0, len(new), 2000):
-                self._learn(new[at : at + 2000])
+        new = [w for w in {*words} if w not in self]
+        for at in range(0, len(new), 2000):
+            self._learn(new[at : at + 2000])
         return b"".join(map(self.__getitem__, words)) + END.to_bytes(4, "little")
 
 
