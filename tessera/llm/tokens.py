@@ -24,7 +24,7 @@ class WordIds(dict):
 
         super().__init__()
         tokenizer = Tokenizer.from_file(path)
-        self._encode, self.vocab = tokenizer.encode, tokenizer.get_vocab
+        self._encode, self._encode_fast, self.vocab = tokenizer.encode, tokenizer.encode_batch_fast, tokenizer.get_vocab
         self._ends = np.zeros(max(self.vocab().values()) + 1, bool)
         self._ends[[i for piece, i in self.vocab().items() if piece.endswith("</w>")]] = True
 
@@ -45,7 +45,7 @@ class WordIds(dict):
                 known.append(word)
         if not known:
             return
-        ids = np.array(self._encode(" ".join(texts), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self._encode_fast([" ".join(texts)], add_special_tokens=False)[0].ids, "<u4")  # without offsets
         stops = np.flatnonzero(self._ends[ids]) + 1
         if len(stops) == sum(runs) and stops[-1] == len(ids):
             raw, a = ids.tobytes(), 0
