@@ -103,16 +103,14 @@ def _packer(path: str):
         words = WordIds(path)
         ends_sentence = sentence_ends(words.vocab())
         items, held, number = [], 0, TaskContext.get().partitionId() << 36
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                ids = np.frombuffer(words.ids(text.as_py()), "<u4")
-                items.append((doc, 0, ids, len(ids)))
-                held += len(ids)
-                if held >= RUN:
-                    rows, items, number = _pack(items, ends_sentence, number, False)
-                    held = sum(len(x[2]) for x in items)
-                    if rows:
-                        yield pa.RecordBatch.from_pydict(rows)
+        for doc, ids in words.documents(batches):
+            items.append((doc, 0, ids, len(ids)))
+            held += len(ids)
+            if held >= RUN:
+                rows, items, number = _pack(items, ends_sentence, number, False)
+                held = sum(len(x[2]) for x in items)
+                if rows:
+                    yield pa.RecordBatch.from_pydict(rows)
         if items:
             yield pa.RecordBatch.from_pydict(_pack(items, ends_sentence, number, True)[0])
 

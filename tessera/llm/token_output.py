@@ -96,17 +96,15 @@ def _packer(path: str):
             full = [b for b in bins if last or sum(len(x[2]) for x in b) >= FULL * SIZE]
             return full, [] if last else [x for b in bins if sum(len(x[2]) for x in b) < FULL * SIZE for x in b]
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                ids = np.frombuffer(words.ids(text.as_py()), "<u4")
-                items += [(doc, at, ids[at : at + SIZE]) for at in range(0, len(ids), SIZE)]
-                held += len(ids)
-                if held >= RUN:
-                    full, items = packed(False)
-                    held = sum(len(x[2]) for x in items)
-                    for at in range(0, len(full), 128):
-                        yield emit(full[at : at + 128], number + at)
-                    number += len(full)
+        for doc, ids in words.documents(batches):
+            items += [(doc, at, ids[at : at + SIZE]) for at in range(0, len(ids), SIZE)]
+            held += len(ids)
+            if held >= RUN:
+                full, items = packed(False)
+                held = sum(len(x[2]) for x in items)
+                for at in range(0, len(full), 128):
+                    yield emit(full[at : at + 128], number + at)
+                number += len(full)
         full = packed(True)[0]
         for at in range(0, len(full), 128):
             yield emit(full[at : at + 128], number + at)
