@@ -1,10 +1,12 @@
 """The operators on small frames with nulls, empty and long texts, ties, repeated rows, no rows and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -102,6 +104,17 @@ def test_packing(docs, none):
             assert (row[lo:hi] == ids[doc][at : at + hi - lo]).all()
 
 
+ODD = ["a", "B", "É", "E\u0301", "H\u0331", "İ", "ß", "ẞ", "Σ", "'s", "'S", "'", "’", ",", "!!", "—", "1", "漢", "\u0338", "\u0307", "\u0085", "\u00a0", "\u212a", "ﬁ", " ", "\t", "\n", "x", "The", "_", "\0", "<|endoftext|>", "<|ENDOFTEXT|>", "😀", "ª", "Ⅷ", "ⓐ"]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    rng = random.Random(1)
+    texts = [None, ""] + ["".join(rng.choice(ODD) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    tok, got = Tokenizer.from_file(tokens.default_path()), tokens.WordIds(tokens.default_path()).all_ids(pa.array(texts))
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == [*tok.encode(text or "", add_special_tokens=False).ids, 1]
+
+
 def test_best_cuts_against_all_ways():
     rng = np.random.default_rng(1)
     for _ in range(30):
