@@ -13,9 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 24_000_000
+CHUNK = 14_000_000
 #: Words whose ids are put in order at once.
-GATHERED = 1_000_000
+GATHERED = 200_000
 #: Words that are encoded in one call.
 CALL = 4000
 _LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-/:-@\[-`{-~]"
@@ -29,8 +29,9 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        tokenizer, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        plain.normalizer, plain.pre_tokenizer = None, pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        tokenizer = Tokenizer.from_file(path)
+        plain = Tokenizer(tokenizer.model)  # shares the model's memory
+        plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._encode, self._many, self._many_plain = tokenizer.encode, tokenizer.encode_batch_fast, plain.encode_batch_fast
         self.vocab = tokenizer.get_vocab
         self._ends = np.zeros(max(self.vocab().values()) + 1, bool)
@@ -86,6 +87,7 @@ class WordIds:
 
         def give() -> Iterator[tuple[int | None, np.ndarray]]:
             rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
             for at, to in _chunks(pc.fill_null(pc.binary_length(rows.column(1)), 0).to_numpy(), CHUNK):
                 part = rows.slice(at, to - at)
                 texts = part.column(1).combine_chunks()
@@ -97,9 +99,10 @@ class WordIds:
                 size += batch.nbytes
             if size >= CHUNK:
                 yield from give()
-                held, size = [], 0
+                size = 0
         if held:
             yield from give()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def _gather(ids: np.ndarray, counts: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
