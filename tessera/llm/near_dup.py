@@ -118,7 +118,7 @@ def _sketcher(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).cast(pa.large_binary())
+            ids, texts = batch.column(0), batch.column(1).cast(pa.large_binary())
             at = 0
             while at < len(ids):
                 sets, size, first = [], 0, at
@@ -126,12 +126,12 @@ def _sketcher(width: int):
                     sets.append(shingle_set(texts[at].as_py(), width, words))
                     size += len(sets[-1])
                     at += 1
-                yield _rows(ids[first:at], sets)
+                yield _rows(ids.slice(first, at - first), sets)
 
     return run
 
 
-def _rows(ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+def _rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
     lens = np.array([len(s) for s in sets], np.int64)
     full = np.flatnonzero(lens)
     bands, bits, sig = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), 4), np.int64), np.zeros((len(sets), 2), np.int64)
@@ -139,11 +139,11 @@ def _rows(ids: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
         rows = sketch([sets[i] for i in full])
         bands[full], bits[full] = band_keys(rows), two_bits(rows)
     for i, s in enumerate(sets):  # an empty set has the digest of its doc_id: it is like no other
-        sig[i] = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes() if len(s) else b"empty %d" % ids[i]), np.int64)
+        sig[i] = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes() if len(s) else f"empty {ids[i]}".encode()), np.int64)
     count = np.where(lens > 0, BANDS, 0)
     lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), pa.array(bands[full].reshape(-1)))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(lens), *(pa.array(sig[:, k]) for k in (0, 1)), *(pa.array(bits[:, k]) for k in range(4)), lists],
+        [ids, pa.array(lens), *(pa.array(sig[:, k]) for k in (0, 1)), *(pa.array(bits[:, k]) for k in range(4)), lists],
         ["doc_id", "n_shingles", "s0", "s1", "b0", "b1", "b2", "b3", "bands"],
     )
 
@@ -206,7 +206,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
     Null and blank texts have empty sets and are linked with nothing; equal sets are always linked; rows
-    with equal doc_id count as one node. Other columns of docs are not looked at.
+    with equal doc_id count as one node. Other columns of docs are not looked at. A row without doc_id names no node: it
+    belongs to the component of an equal set that has one, and else stands alone, kept, with component_id null.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -248,7 +249,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("node", F.coalesce("root", "rep")).drop("root").join(second, "node", "left")
     named = named.select("s0", "s1", F.coalesce("root", "node").alias("component_id"))
     out = all_.select("doc_id", "n_shingles", "s0", "s1").join(named, ["s0", "s1"])
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _between(open_: DataFrame, traits: DataFrame, docs: DataFrame, width: int, percent: int, scratch: common.Scratch) -> DataFrame:
