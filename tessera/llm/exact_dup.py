@@ -118,7 +118,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts are equal when their bytes without ASCII white space are. Null, empty and blank texts are all
     equal. The longest original text stays, then the least doc_id; of repeated rows with one doc_id
-    all say kept. Other columns of docs are not looked at.
+    all say kept. Rows without doc_id count as one doc_id, after all others. Other columns of docs are not looked at.
     """
     spark = docs.sparkSession
     common.small_batches(spark, BLOCK_ROWS)
@@ -135,7 +135,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     scratch.drop("blocks")
 
     ids = scratch.write(rows.where("suspect").select("doc_id").distinct(), "suspects")
-    texts = docs.join(common.bounded(ids, ids.count()), "doc_id", "left_semi")
+    texts = docs.join(common.bounded(ids.toDF("id"), ids.count()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     chars, plain = F.length(F.coalesce("text", F.lit(""))), F.translate(F.coalesce("text", F.lit("")), SPACE, "")
     best = F.max(F.struct(chars.cast("long").alias("n"), (-F.col("doc_id")).alias("minus")))
     groups = texts.select(plain.alias("plain"), "doc_id", "text").groupBy("plain").agg(best.alias("best"), F.count("*").alias("group_size"))
@@ -143,7 +143,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     found = rows.where("suspect").join(scratch.write(groups, "groups"), "sha")
     alone = rows.where("not suspect").select("sha", "doc_id", "n_chars", "suspect", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     out = found.select(*alone.columns).union(alone)
-    return out.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def op8_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
