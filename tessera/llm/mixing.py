@@ -25,6 +25,8 @@ from tessera.llm import common
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 #: Slots of a mix: at least so many, until a block holds BLOCK_WORDS words.
 LEAST_SLOTS, BLOCK_WORDS = 65_536, 2048
+#: Most sources that are searched in an array; more are joined.
+ARRAY_SOURCES = 256
 #: Rows of one bucket of the two-level sums.
 BUCKET_ROWS = 20_000
 #: The conjugate of the golden ratio, in two parts of which the first times 2^20 is exact enough for 10^12 slots.
@@ -77,17 +79,19 @@ def schedule(t: DataFrame, slots: int, scratch: common.Scratch) -> DataFrame:
     """k, idx, number of every slot: slot k takes block `number` of source idx."""
     spark = t.sparkSession
     whole = F.sum("target").over(W.partitionBy())
-    ends = t.select("idx", (F.sum("target").over(W.orderBy("idx")) / whole).alias("hi"), ((F.sum("target").over(W.orderBy("idx")) - F.col("target")) / whole).alias("lo"), "target").where("target > 0")
-    last = ends.agg(F.max("idx")).first()[0]
-    ends = scratch.write(ends.withColumn("hi", F.when(F.col("idx") == last, 2.0).otherwise(F.col("hi"))).orderBy("idx"), "ends")
-    rows = [(r.idx, r.hi) for r in ends.select("idx", "hi").limit(common.BROADCAST_ROWS).collect()]
-    his = F.array(*[F.lit(float(h)) for _, h in sorted(rows)])
-    ids = F.array(*[F.lit(int(i)) for i, _ in sorted(rows)])
+    ends = t.where("target > 0").select("idx", (F.sum("target").over(W.orderBy("idx")) / whole).alias("hi"))
+    n, last = ends.agg(F.count("*"), F.max("idx")).first()
+    ends = ends.withColumn("lo", F.lag("hi", 1, 0.0).over(W.orderBy("idx"))).withColumn("hi", F.when(F.col("idx") == last, 2.0).otherwise(F.col("hi")))
+    ends = scratch.write(ends, "ends")
     points = spark.range(slots).select(F.col("id").alias("k"), point(F.col("id")).alias("u"))
-    if len(rows) <= 256:  # a search in two constant arrays
+    if n <= ARRAY_SOURCES:  # a search in two constant arrays
+        rows = sorted((r.idx, r.hi) for r in ends.collect())
+        his, ids = F.array(*[F.lit(float(h)) for _, h in rows]), F.array(*[F.lit(int(i)) for i, _ in rows])
         found = points.select("k", F.get(ids, F.size(F.filter(his, lambda h: h <= F.col("u")))).alias("idx"))
-    else:
-        found = points.join(F.broadcast(ends), F.expr("u < hi AND u >= lo")).select("k", "idx")
+    else:  # an equi-join on cells of [0, 1]; a source lies in all cells that it touches, 6 n rows at most
+        cell = lambda u: F.floor(F.least(F.col(u), F.lit(1.0)) * 4 * n)
+        spans = ends.withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
+        found = points.withColumn("cell", cell("u")).join(common.bounded(spans, 6 * n), "cell").where("u < hi AND u >= lo").select("k", "idx")
     out = running(found, "idx", ["k"], F.lit(1), 0, F.floor(F.col("k") / BUCKET_ROWS), scratch, "slots")
     return out.select("k", "idx", F.col("__rank").alias("number"))
 
@@ -97,7 +101,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
 
     doc_id, size, source_size, target, taken, source_index, and pieces: (slot, copy, first word, words) of each
     piece in the mix, first word counted from 0. Null text has no words and no pieces; null source is a
-    source, the last. Repeated rows are documents of their own. Empty docs give no rows.
+    source, the last. Repeated rows and rows without doc_id are documents of their own. Empty docs give no rows.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "mix")
@@ -109,7 +113,7 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most:
     total = t.agg(F.sum("target")).first()[0] or 0.0
     block = int(max(1, min(BLOCK_WORDS, total // LEAST_SLOTS)))
     slots = int(total / block + 0.5)
-    d = d.join(common.bounded(t, sources), d.source.eqNullSafe(t.source)).select("doc_id", "size", "idx", "source_size", "target", F.md5(F.col("doc_id").cast("string")).alias("h"))
+    d = d.join(common.bounded(t, sources), d.source.eqNullSafe(t.source)).select("doc_id", "size", "idx", "source_size", "target", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
     buckets = max(1, -(-rows // BUCKET_ROWS))
     bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / 2**32)
     d = running(d, "idx", ["h", "doc_id", "size"], F.col("size"), buckets, bucket, scratch, "shuffled")
