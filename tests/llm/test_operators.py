@@ -174,3 +174,57 @@ def test_private_data(docs, none, spark):
     assert got[20].spans == "phone:20:30" and got[21].spans == "" and got[22].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[23].spans == "email:0:5,email:5:11,ip:12:19,card:31:50"
     assert private_data.personal_data(none).count() == 0 and private_data.personal_data(docs).count() == 12
+
+
+NO_ID = [(1, BASE), (None, BASE), (None, "solo words here"), (None, None), (2, "solo words here"), (2**60 + 1, BASE + " z"), (None, "only null one"), (None, "only null one")]
+
+
+@pytest.fixture(scope="module")
+def no_id(spark):
+    return spark.createDataFrame([(i, t, "en", "s", 1, 7, 7, 7, 7) for i, t in NO_ID], "doc_id long, text string, lang string, source string, n_chars long, id long, size long, slot long, words long")
+
+
+def test_rows_without_ids(no_id):
+    near = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(no_id, 2, 80).collect()), key=repr)
+    assert near == sorted([(1, 1, True), (None, 1, False), (None, 2, False), (None, None, True), (2, 2, True), (2**60 + 1, 1, False), (None, None, True), (None, None, True)], key=repr)
+    exact = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dup.exact_duplicates(no_id).collect()), key=repr)
+    assert exact == sorted([(1, 1, 2, True), (None, 1, 2, False), (None, 2, 2, False), (None, None, 1, True), (2, 2, 2, True), (2**60 + 1, 2**60 + 1, 1, True), (None, None, 2, True), (None, None, 2, True)], key=repr)
+    assert sorted(r.size for r in mixing.mixed(no_id).collect()) == sorted(len((t or "").split()) for _, t in NO_ID)
+    for f in (quality.quality, packing.pack_in_order, token_count.token_counts, private_data.personal_data):
+        assert f(no_id).count() == len(NO_ID)
+
+
+def test_mixing_many_sources(spark):
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(5)
+    documents = pd.DataFrame([(i, "w " * rng.randint(1, 40), f"s{rng.randint(0, 299):03}") for i in range(900)], columns=["doc_id", "text", "source"])
+    want = duckdb.sql(mixing.SQL).df()
+    got = mixing.mixed(spark.createDataFrame(documents)).select("doc_id", "size", "source_size", "target", "taken").toPandas()
+    assert documents.source.nunique() > mixing.ARRAY_SOURCES
+    key = lambda d: [tuple(r) for r in d.sort_values("doc_id").itertuples(index=False)]
+    assert [r[:3] + r[4:] for r in key(got)] == [r[:3] + r[4:] for r in key(want)]
+    assert np.allclose(got.sort_values("doc_id").target, want.sort_values("doc_id").target)
+
+
+def test_personal_data_against_plain_patterns(spark):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def luhn(digits):
+        return sum(sum(divmod(2 * int(x), 10)) if k % 2 else int(x) for k, x in enumerate(reversed(digits))) % 10 == 0
+
+    def valid(kind, x):
+        digits = re.sub("[^0-9]", "", x)
+        return kind == "email" or kind == "ip" and all(int(p) <= 255 for p in x.split(".")) or kind == "card" and 13 <= len(digits) <= 19 and luhn(digits) or kind == "phone" and 9 <= len(digits) <= 15
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    some = 0
+    for r in private_data.personal_data(docs).collect():
+        base = {k: [f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, texts[r.doc_id]) if valid(k, m[0])] for k, p in patterns.items()}
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(map(len, base.values()))
+        every = [x for k in patterns for x in base[k]]
+        assert r.base_sha256 == hashlib.sha256(",".join(every).encode()).hexdigest() and set(every) <= set(r.spans.split(",")) | {""}
+        some += len(every)
+    assert some

@@ -43,3 +43,18 @@ def test_stages_on_whole_documents(spark, tmp_path):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 2048
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, repeated rows, and columns named as those that the stages use."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, words, None, None, None, 7), (1, words, None, None, None, 7), (None, words + " x", None, "s", 1, 7), (2, None, "en", "s", 1, 7), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot long")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert (1, words) in got and (None, words + " x") in got and len(got) <= 2 * len(rows)
+        assert corpus_pipeline.STAGES[4][1](spark, out, "").count() >= len(got)
+        assert stage(spark, docs.limit(0), "").count() == 0
+    assert corpus_pipeline.STAGES[0][1](spark, docs, "").columns == docs.columns
