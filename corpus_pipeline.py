@@ -13,7 +13,7 @@ from tessera.llm import common, exact_dup, language, mixing, near_dup, packing
 
 
 def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """docs without the rows whose doc_id is in gone."""
+    """docs without the rows whose doc_id is in gone; rows without doc_id stay."""
     gone = common.Scratch(docs.sparkSession, name).write(gone.select("doc_id"), "gone")
     return docs.join(common.bounded(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
@@ -38,12 +38,13 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     source gives may be cut after the words that were taken."""
     pieces = mixing.mixed(docs).select("doc_id", "size", F.explode("pieces").alias("p"))
     copies = pieces.groupBy("doc_id", "size", "p.copy").agg(F.min("p.slot").alias("slot"), F.sum("p.words").alias("words"))
-    copies = copies.select(F.col("doc_id").alias("id"), "size", "slot", "words")
-    both = docs.join(copies, docs.doc_id == F.col("id"))
+    copies = copies.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("slot").alias("__slot"), F.col("words").alias("__words"))
+    sized = docs.withColumn("__own", mixing.n_words(F.col("text")))
+    both = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")))
     words = F.split(F.btrim("text", F.lit(common.SPACE)), "[\\x20\\x09-\\x0D]+", -1)
-    text = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, 1, F.col("words").cast("int")), " ")).otherwise(F.col("text"))
+    text = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(words, 1, F.col("__words").cast("int")), " ")).otherwise(F.col("text"))
     out = both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return out.repartitionByRange("slot").sortWithinPartitions("slot").select(*docs.columns)
+    return out.repartitionByRange("__slot").sortWithinPartitions("__slot").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
