@@ -72,9 +72,10 @@ class WordIds:
     def all_ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, with the end id; null is an empty text."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        coded = lists.flatten().dictionary_encode()
+        coded, words = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
+        del lists  # as large as the texts and more
         ids, counts = self._encoded(coded.dictionary)
-        index, words = coded.indices.to_numpy(), pc.list_value_length(lists).to_numpy()
+        index = coded.indices.to_numpy()
         ends = np.cumsum(words)
         for at, to in _chunks(words, GATHERED):
             flat, n = _gather(ids, counts, index[ends[at] - words[at] : ends[to - 1]])
@@ -83,6 +84,7 @@ class WordIds:
 
     def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         """doc_id and ids of every row of batches (doc_id, text), in their order."""
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back at once
         held, size = [], 0
 
         def give() -> Iterator[tuple[int | None, np.ndarray]]:
