@@ -84,7 +84,6 @@ class WordIds:
 
     def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         """doc_id and ids of every row of batches (doc_id, text), in their order."""
-        pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back at once
         held, size = [], 0
 
         def give() -> Iterator[tuple[int | None, np.ndarray]]:
