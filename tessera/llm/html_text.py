@@ -3,11 +3,12 @@
 Pages are range-partitioned and sorted by host and URL path, so a page's nearest URLs stand beside it, and a host with
 many pages is spread over many tasks. Each page is cut into text lines (blocks); elements that
 are boilerplate by name, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments) give none. Lines outside an article or main element are aligned with those
+scripts, styles, comments) give none. The lines of every page are aligned with those
 of the neighbour whose path shares the longest prefix, by a longest common subsequence, and shared
-lines are deleted. Lines inside an article or main element are the article: pages may rightly hold
-the same article, so these are not deleted, and where there is such an element only they are the text.
-A page whose every line is shared is a copy, about which differencing says nothing: it keeps its lines.
+lines are deleted, be they inside or outside an article or main element. Pages may rightly hold the same article:
+where the shared lines inside are half or more of the shorter of the two articles, by characters, the articles are copies
+and their lines stay. A page whose every line is shared is a copy, about which differencing says nothing: it keeps its lines.
+Without a neighbour, structure alone decides: the article, if it is half or more of the page, else all lines.
 
 The first and the last page of a partition are compared with the neighbour on their own side only.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 import html
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,17 +56,18 @@ def _boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
-def lines(page: str | None) -> tuple[list[str], list[str]]:
-    """The lines inside article or main elements, and those outside, boilerplate elements left out."""
-    inside: list[str] = []
-    outside: list[str] = []
+def lines(page: str | None) -> tuple[list[str], list[bool]]:
+    """The lines in their order, boilerplate elements left out, and which of them are inside an article or main element."""
+    out: list[str] = []
+    inside: list[bool] = []
     text: list[str] = []
     main = skip = at = 0
     skipped = ""
 
     def flush() -> None:
         if text and (line := " ".join(html.unescape("".join(text)).split())):
-            (inside if main else outside).append(line)
+            out.append(line)
+            inside.append(main > 0)
         text.clear()
 
     page = page or ""
@@ -99,7 +101,7 @@ def lines(page: str | None) -> tuple[list[str], list[str]]:
     if not skip:
         text.append(page[at:])
     flush()
-    return inside, outside
+    return out, inside
 
 
 def shared(a: list[str], b: list[str]) -> set[int]:
@@ -133,24 +135,35 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def _size(page: tuple[list[str], list[bool]], of: Iterable[int] | None = None) -> int:
+    """Characters of the lines inside, of all or those given."""
+    return sum(len(page[0][i]) for i in (range(len(page[0])) if of is None else of) if page[1][i])
+
+
+def kept(page: tuple[list[str], list[bool]], other: tuple[list[str], list[bool]] | None) -> list[str]:
+    """The lines of a page that are its main text, seen beside its neighbour."""
+    text, inside = page
+    article = _size(page)
+    if other is None:
+        return [x for x, i in zip(text, inside, strict=True) if i or 2 * article < sum(map(len, text))]
+    gone = shared(text, other[0])
+    back = _size(other)
+    if article and 2 * _size(page, gone) >= min(article, back or article):
+        gone = {i for i in gone if not inside[i]}
+    return text if len(gone) == len(text) else [x for i, x in enumerate(text) if i not in gone]
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pages():
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                inside, outside = lines(row[2])
-                yield row[:2], row[3], row[4], inside, outside
+                yield row[:2], row[3], row[4], lines(row[2])
 
     def text(before, page, after) -> str:
-        _, host, path, inside, outside = page
-        if inside:
-            return "\n\n".join(inside)
-        near = [x for x in (before, after) if x and x[1] == host and x[4] and x[4] != outside]  # a copy or an empty page tells nothing
-        if near and outside:
-            other = max(near, key=lambda x: len(os.path.commonprefix([x[2], path])))
-            gone = shared(outside, other[4])
-            if len(gone) < len(outside):
-                outside = [x for i, x in enumerate(outside) if i not in gone]
-        return "\n\n".join(outside)
+        _, host, path, own = page
+        near = [x for x in (before, after) if x and x[1] == host and x[3][0] and x[3] != own]  # a copy or an empty page tells nothing
+        other = max(near, key=lambda x: len(os.path.commonprefix([x[2], path])))[3] if near else None
+        return "\n\n".join(kept(own, other))
 
     def out(rows: list) -> pa.RecordBatch:
         ids, urls, texts = zip(*rows, strict=True)

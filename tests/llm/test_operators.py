@@ -168,6 +168,21 @@ def test_html(spark):
     assert (1, "A & B\n\nx y z") in got and (3, "own 2") in got and (4, "") in got and (5, "") in got
 
 
+def main_texts(spark, rows):
+    return {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+
+
+def test_html_differences_articles(spark):
+    page = "<body><div>site line</div><article><p>own text of page number {0}, long enough to count {0}</p><p>all rights reserved</p></article><p>outside {0}</p></body>"
+    teaser = "<body><article>tiny</article><p>the main text is outside the teaser</p></body>"
+    copies = "<body><div>site line</div><article><p>one long article that two pages hold</p><p>edit {}</p></article></body>"
+    rows = [(i, f"http://a.b/{i}", page.format(i)) for i in (1, 2)] + [(3, "http://c.d/", teaser)] + [(i, f"http://e.f/{i}", copies.format(i)) for i in (4, 5)]
+    got = main_texts(spark, rows)
+    assert [got[i] for i in (1, 2)] == [f"own text of page number {i}, long enough to count {i}\n\noutside {i}" for i in (1, 2)]
+    assert got[3] == "tiny\n\nthe main text is outside the teaser"
+    assert [got[i] for i in (4, 5)] == [f"one long article that two pages hold\n\nedit {i}" for i in (4, 5)]
+
+
 def test_private_data(docs, none, spark):
     rows = [(i, f"please call number: +1 (702) 555-07{i}2 now") for i in range(8)] + [(20, "please call number: 7025550000 now"), (21, "please call it 7025550001 now"), (22, None), (23, "a@b.c_d@e.f 1.2.3.4 256.1.1.1, 4111 1111 1111 1111")]
     got = {r.doc_id: r for r in private_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
