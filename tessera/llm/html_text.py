@@ -3,7 +3,7 @@
 Pages are range-partitioned and sorted by host and URL path, so a page's nearest URLs stand beside it, and a host with
 many pages is spread over many tasks. Each page is cut into text lines (blocks); elements that
 are boilerplate by name, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments) give none. The lines of every page are aligned with those
+scripts, styles, comments) give none. An element whose end tag is left out ends where HTML says, or with an ancestor. The lines of every page are aligned with those
 of the neighbour whose path shares the longest prefix, by a longest common subsequence, and shared
 lines are deleted, be they inside or outside an article or main element. Pages may rightly hold the same article:
 where the shared lines inside are half or more of the shorter of the two articles, by characters, the articles are copies
@@ -27,13 +27,31 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 _TOKEN = re.compile(
-    r"""<!--(?:.*?-->|.*+)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|button|canvas|audio|video|head)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
+    r"""<!--(?:.*?-->|.*+)|<(script|style|noscript|iframe|textarea)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
     re.S | re.I,
 )
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(("article", "main"))
-_DROP = frozenset("nav header footer aside form dialog menu".split())
+_DROP = frozenset("nav header footer aside form dialog menu head title template svg math object select button canvas audio video".split())
+_HEAD = frozenset("head title meta link base template".split())
+_CELLS = frozenset(("td", "th", "caption"))
+_ROWS = _CELLS | {"tr", "colgroup"}
+_PARTS = _ROWS | {"tbody", "thead", "tfoot"}
+_TABLE = _CELLS | {"table"}
+#: What a start tag ends, and within what: the end tags that HTML lets a page leave out.
+_P = frozenset(("p",)), _CELLS | {"table", "button", "object", "template"}
+_ENDS = (
+    {"li": (frozenset(("li",)), _BLOCKS - {"address", "div", "p", "li"} | _CELLS)}
+    | dict.fromkeys(("dd", "dt"), (frozenset(("dd", "dt")), _BLOCKS - {"address", "div", "p", "dd", "dt"} | _CELLS))
+    | dict.fromkeys(("td", "th"), (_CELLS, frozenset(("table", "tr"))))
+    | {"tr": (_ROWS, frozenset(("table", "tbody", "thead", "tfoot")))}
+    | dict.fromkeys(("tbody", "thead", "tfoot"), (_PARTS, frozenset(("table",))))
+)
+_NOT_IN_P = _BLOCKS - {"body", "html", "caption", "title"} - _PARTS
+_SPECIAL = _BLOCKS | _PARTS | _DROP
+#: Open elements beyond this depth take the place of the last one, as in browsers.
+DEPTH = 512
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _BOILER = re.compile(
@@ -62,7 +80,7 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
     inside: list[bool] = []
     text: list[str] = []
     main = skip = at = 0
-    skipped = ""
+    opened: list[tuple[str, bool, bool]] = []
 
     def flush() -> None:
         if text and (line := " ".join(html.unescape("".join(text)).split())):
@@ -70,34 +88,83 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
             inside.append(main > 0)
         text.clear()
 
+    def close_to(depth: int) -> None:
+        nonlocal main, skip
+        while len(opened) > depth:
+            _, dropped, article = opened[-1]
+            if article:
+                flush()
+            opened.pop()
+            skip, main = skip - dropped, main - article
+
+    def end(names: frozenset[str], within: frozenset[str]) -> None:
+        """Close the open elements of these names, not looking beyond an element of within."""
+        found = None
+        for i in range(len(opened) - 1, -1, -1):
+            if opened[i][0] in names:
+                found = i
+            elif opened[i][0] in within:
+                break
+        if found is not None:
+            close_to(found)
+
+    def end_tag(name: str) -> None:
+        nonlocal main, skip
+        if name in ("body", "html"):
+            return
+        far = name in _PARTS or name in _MAIN or name == "table"
+        for i in range(len(opened) - 1, -1, -1):
+            if opened[i][0] == name:
+                if name in _SPECIAL:
+                    close_to(i)
+                else:  # as <b> in <b><p></b>, which leaves the paragraph open
+                    skip -= opened.pop(i)[1]
+                return
+            if not far and opened[i][0] in _TABLE:
+                return
+
     page = page or ""
     for m in _TOKEN.finditer(page):
-        if not skip and m.start() > at:
-            text.append(page[at : m.start()])
+        if m.start() > at:
+            if opened and opened[-1][0] == "head" and not page[at : m.start()].isspace():
+                close_to(len(opened) - 1)
+            if not skip:
+                text.append(page[at : m.start()])
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
-        close = (m[2] or m[5]) == "/"
-        if skip:
-            if name == skipped:
-                skip += -1 if close else 1
-            continue
+        attributes = m[4] or m[7] or ""
         if name in _BLOCKS:
             flush()
-        elif name == "br":
+        elif name in ("br", "td", "th") and not skip:
             text.append(" ")
-        elif name in ("td", "th"):
-            text.append(" ")
-        if close:
-            if name in _MAIN and main:
-                main -= 1
-        elif name not in _VOID and not (m[4] or m[7] or "").endswith("/"):
-            if _boilerplate(name, m[4] or m[7] or ""):
-                flush()
-                skip, skipped = 1, name
-            elif name in _MAIN:
-                main += 1
+        if (m[2] or m[5]) == "/":
+            end_tag(name)
+            continue
+        if opened and opened[-1][0] == "title":
+            close_to(len(opened) - 1)
+        if opened and opened[-1][0] == "head" and name not in _HEAD:
+            close_to(len(opened) - 1)
+        if skip and name in _BLOCKS:  # a block in a drawing or formula ends it
+            names = {x[0] for x in opened}
+            if names & {"svg", "math"} and not names & {"foreignobject", "annotation-xml"} and name != "title":
+                end(frozenset(("svg", "math")), frozenset())
+        if name in _NOT_IN_P:
+            end(*_P)
+        if name in _ENDS:
+            end(*_ENDS[name])
+        if name in _VOID or attributes.endswith("/") or name in ("body", "html"):
+            continue
+        dropped = _boilerplate(name, attributes)
+        if dropped:
+            flush()
+        if len(opened) >= DEPTH:
+            close_to(DEPTH - 1)
+        opened.append((name, dropped, name in _MAIN))
+        skip, main = skip + dropped, main + (name in _MAIN)
+    if opened and opened[-1][0] == "head":
+        close_to(len(opened) - 1)
     if not skip:
         text.append(page[at:])
     flush()

@@ -183,6 +183,28 @@ def test_html_differences_articles(spark):
     assert [got[i] for i in (4, 5)] == [f"one long article that two pages hold\n\nedit {i}" for i in (4, 5)]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><meta charset=x><title>t</title><body><p>one<p>two",
+        "<html><head><title>t</title><p>one<p>two",
+        "<html><head><title>t</title>one<p>two",
+        "<p>one<svg/><math/><p>two<svg><path/></svg>",
+        "<p>one<svg><path><p>two",
+        "<article><p>one<p class=notice>no<p>two</article>",
+        "<article><p>one<ul><li class=share>no<li>two</ul></article>",
+        "<article><p>one<div><p class=notice>no</div>two</article>",
+        "<article><p>one<table><tr><td class=ad>no<td>two</table></article>",
+        "<article><p>one<dl><dt class=ad>no<dd>two</dl></article>",
+        "<article><p>one<select><option>no</article><p>two",
+        "<article><p>one<p>two<ul><li class=share><ul><li>no</ul>no</ul></article>",
+        "<p>one<p>two<nav><ul><li>no<li>no</ul></nav>",
+    ],
+)
+def test_html_end_tags_left_out(page):
+    assert html_text.lines(page)[0] == ["one", "two"]
+
+
 def test_private_data(docs, none, spark):
     rows = [(i, f"please call number: +1 (702) 555-07{i}2 now") for i in range(8)] + [(20, "please call number: 7025550000 now"), (21, "please call it 7025550001 now"), (22, None), (23, "a@b.c_d@e.f 1.2.3.4 256.1.1.1, 4111 1111 1111 1111")]
     got = {r.doc_id: r for r in private_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
