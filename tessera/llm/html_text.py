@@ -53,7 +53,7 @@ _SPECIAL = _BLOCKS | _PARTS | _DROP
 #: Open elements beyond this depth take the place of the last one, as in browsers.
 DEPTH = 512
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
 _BOILER = re.compile(
     r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|notice|consent|gdpr|sidebar|side-bar|nav|navbar|navigation|menu|header|footer|masthead|breadcrumbs?|comments?|commentlist|respond|share|sharing|social|related|newsletter|subscribe|popup|modal|overlay|pagination|pager)(?:[-_][\w-]*)?|(?:top|site|main|page|global|user|reader)[-_]?(?:ads?|banner|nav|menu|header|footer|comments?|notice)",
     re.I,

@@ -205,6 +205,13 @@ def test_html_end_tags_left_out(page):
     assert html_text.lines(page)[0] == ["one", "two"]
 
 
+def test_html_attributes_by_name():
+    for x in ('style="overflow:hidden"', 'title="the hidden valley"', 'data-role="search"', "data-x='class=ad'", "data-class=ad", "title=class=ad", "aria-hidden=false", "x-hidden"):
+        assert html_text.lines(f"<article {x}>text</article>")[0] == ["text"], x
+    for x in ("hidden", 'hidden=""', "HIDDEN", "aria-hidden=true", "role = 'search'", 'class="x ad"', "id=ad", 'title="a" class=ad', "a=b/c hidden"):
+        assert html_text.lines(f"<article {x}>text</article>")[0] == [], x
+
+
 def test_private_data(docs, none, spark):
     rows = [(i, f"please call number: +1 (702) 555-07{i}2 now") for i in range(8)] + [(20, "please call number: 7025550000 now"), (21, "please call it 7025550001 now"), (22, None), (23, "a@b.c_d@e.f 1.2.3.4 256.1.1.1, 4111 1111 1111 1111")]
     got = {r.doc_id: r for r in private_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
