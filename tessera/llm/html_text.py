@@ -1,7 +1,9 @@
 """Operator 4: main text of web pages by structure and by differencing against the page with the nearest URL.
 
 Pages are range-partitioned and sorted by host and URL path, so a page's nearest URLs stand beside it, and a host with
-many pages is spread over many tasks. Each page is cut into text lines (blocks); elements that
+many pages is spread over many tasks. A first pass over the keys and digests of all pages finds the partitions' bounds and, for each, the pages
+beyond its ends that it borrows as neighbours. Pages with equal lines that stand together count as one, and pages without lines as none, so a
+page's neighbours are the nearest pages of its host on both sides whose lines differ, wherever partitions end. Each page is cut into text lines (blocks); elements that
 are boilerplate by name, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, comments) give none. An element whose end tag is left out ends where HTML says, or with an ancestor. The lines of every page are aligned with those
 of the neighbour whose path shares the longest prefix, by a longest common subsequence, and shared
@@ -9,12 +11,12 @@ lines are deleted, be they inside or outside an article or main element. Pages m
 where the shared lines inside are half or more of the shorter of the two articles, by characters, the articles are copies
 and their lines stay. A page whose every line is shared is a copy, about which differencing says nothing: it keeps its lines.
 Without a neighbour, structure alone decides: the article, if it is half or more of the page, else all lines.
-
-The first and the last page of a partition are compared with the neighbour on their own side only.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import html
 import os
 import re
@@ -220,33 +222,138 @@ def kept(page: tuple[list[str], list[bool]], other: tuple[list[str], list[bool]]
     return text if len(gone) == len(text) else [x for i, x in enumerate(text) if i not in gone]
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def pages():
+_KEYS = ["host", "path", "page_id", "sig"]
+_LINED = "part int, own boolean, host string, path string, page_id long, sig long, url string, lines array<string>, inside array<boolean>"
+
+
+def _key(host: str, path: str, page_id: int | None, sig: int) -> tuple:
+    """Ordered as Spark orders the columns: strings by UTF-8 are by code point, nulls come first."""
+    return host, path, page_id is not None, page_id or 0, sig
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """page_id, url, host, path, lines, inside, sig of each page; sig is a digest of its lines, 0 for a page without lines."""
+    for batch in batches:
+        for page_id, url, page, host, path in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            text, inside = lines(page)
+            told = hashlib.blake2b("\n".join(f"{i:d}{x}" for x, i in zip(text, inside, strict=True)).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            yield page_id, url, host, path, text, inside, int.from_bytes(told, "big", signed=True) or 1 if text else 0
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(host, path, page_id, sig) for page_id, _, host, path, _, _, sig in _signed([batch])]
+        kinds = pa.string(), pa.string(), pa.int64(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else ((),) * 4, kinds, strict=True)], _KEYS)
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition of sorted keys: its first key and host; the first page with lines of its first host and the first after it whose
+    lines differ; likewise the last ones of its last host."""
+    first = last = None
+    head: list[tuple] = []
+    tail: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            first = first or row
+            if last and last[0] != row[0]:
+                tail = []
+            last = row
+            if not row[3]:
+                continue
+            if row[0] == first[0] and len(head) < 2 and (not head or head[0][3] != row[3]):
+                head.append(row)
+            tail = [row, *[x for x in ([tail[0]] if tail and tail[0][3] != row[3] else tail[1:])]]
+    if first:
+        out = [("first", *first), *(("head", *x) for x in head), *(("tail", *x) for x in tail), ("last", *last)]
+        kinds = pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["what", *_KEYS])
+
+
+def _borrowed(parts: list[dict[str, list[tuple]]]) -> dict[tuple, list[int]]:
+    """key -> the partitions that need this page of another partition as a neighbour: the nearest on either side whose lines differ."""
+    out: dict[tuple, list[int]] = {}
+    for k, part in enumerate(parts):
+        for step, near, far, end in ((-1, "head", "tail", "first"), (1, "tail", "head", "last")):
+            host = part[end][0][0]
+            j = k + step
+            while part[near] and 0 <= j < len(parts):
+                there = parts[j]
+                if there["last" if step < 0 else "first"][0][0] != host:
+                    break
+                if found := next((x for x in there[far] if x[3] != part[near][0][3]), None):
+                    out.setdefault(_key(*found), []).append(k)
+                    break
+                if there["first" if step < 0 else "last"][0][0] != host:
+                    break
+                j += step
+    return out
+
+
+def _liner(bounds: list[tuple], borrowed: dict[tuple, list[int]]):
+    """Rows of _LINED: each page in its own partition, and again in those that borrow it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.bool_())
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                yield row[:2], row[3], row[4], lines(row[2])
+            rows = []
+            for page_id, url, host, path, text, inside, sig in _signed([batch]):
+                key = _key(host, path, page_id, sig)
+                rest = host, path, page_id, sig, url, text, inside
+                rows.append((max(bisect.bisect_right(bounds, key) - 1, 0), True, *rest))
+                rows.extend((k, False, *rest) for k in borrowed.get(key, ()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in _LINED.split(", ")])
+
+    return run
 
-    def text(before, page, after) -> str:
-        _, host, path, own = page
-        near = [x for x in (before, after) if x and x[1] == host and x[3][0] and x[3] != own]  # a copy or an empty page tells nothing
-        other = max(near, key=lambda x: len(os.path.commonprefix([x[2], path])))[3] if near else None
-        return "\n\n".join(kept(own, other))
 
-    def out(rows: list) -> pa.RecordBatch:
-        ids, urls, texts = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the pages of sorted partitions. Pages that stand together and have equal lines are a run, held as ids; its neighbours are
+    the last page of the run before and the first of the run after."""
+
+    def rows():
+        for batch in batches:
+            yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
+
+    def texts(run: list, before: tuple | None, after: tuple | None) -> Iterator[tuple]:
+        (where, own), pages = run
+        near = [(path, other) for (at, path, other) in (x for x in (before, after) if x) if at == where]
+        known: dict[int, str] = {}
+        for path, page_id, url in pages:
+            k = max(range(len(near)), key=lambda i: len(os.path.commonprefix([near[i][0], path])), default=-1)
+            if k not in known:
+                known[k] = "\n\n".join(kept(own, near[k][1] if near else None))
+            yield page_id, url, known[k]
+
+    def found() -> Iterator[tuple]:
+        run, before = None, None
+        for part, own, host, path, page_id, sig, url, text, inside in rows():
+            if not text:
+                if own:
+                    yield page_id, url, ""
+                continue
+            if run is None or run[0] != ((part, host), (text, inside)):
+                if run:
+                    yield from texts(run, before, ((part, host), path, (text, inside)))
+                    before = run[0][0], end, run[0][1]
+                run = ((part, host), (text, inside)), []
+            end = path
+            if own:
+                run[1].append((path, page_id, url))
+        if run:
+            yield from texts(run, before, None)
+
+    def out(held: list) -> pa.RecordBatch:
+        ids, urls, of = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(of, pa.string()), pa.array([len(x) for x in of], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    before = page = None
     held: list = []
-    for after in pages():
-        if page:
-            held.append((*page[0], text(before, page, after)))
-        before, page = page, after
+    for row in found():
+        held.append(row)
         if len(held) >= 256:
             yield out(held)
             held = []
-    if page:
-        held.append((*page[0], text(before, page, None)))
     if held:
         yield out(held)
 
@@ -262,7 +369,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(url, "^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)", 1)
     path = F.regexp_replace(url, "^(?:[a-z][a-z0-9+.-]*:)?//[^/?#]*|[?#].*$", "")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
-    near = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = rows.mapInArrow(_signatures, "host string, path string, page_id long, sig long")
+    edges = keys.repartitionByRange(n, *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_edges, "what string, host string, path string, page_id long, sig long")
+    parts: dict[int, dict[str, list[tuple]]] = {}
+    for r in edges.withColumn("part", F.spark_partition_id()).collect():  # at most six rows a partition
+        parts.setdefault(r.part, {x: [] for x in ("first", "head", "tail", "last")})[r.what].append(tuple(r)[1:5])
+    ordered = [parts[k] for k in sorted(parts)]
+    bounds = [_key(*x["first"][0]) for x in ordered]
+    lined = rows.mapInArrow(_liner(bounds, _borrowed(ordered)), _LINED)
+    near = lined.repartitionById(n, F.col("part")).sortWithinPartitions("part", *_KEYS, "own")
     return near.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 

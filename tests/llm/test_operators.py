@@ -212,6 +212,23 @@ def test_html_attributes_by_name():
         assert html_text.lines(f"<article {x}>text</article>")[0] == [], x
 
 
+def test_html_neighbours_beyond_copies_and_partitions(spark):
+    plain = "<div>site</div><p>own {}</p><div>end</div>"
+    numbers = [1, *[2] * 9, 3, *[4] * 5, *[None] * 3, 5, 5, 6]
+    rows = [(i, f"http://a.b/{i:02}", plain.format(n) if n else "") for i, n in enumerate(numbers)] + [(90, "http://c.d/", plain.format(9))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"own {n}" if n else "" for i, n in enumerate(numbers)} | {90: "site\n\nown 9\n\nend"}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 3, 7, 30):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = html_text.main_text(pages).collect()
+            assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want, n
+        assert html_text.main_text(pages.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_private_data(docs, none, spark):
     rows = [(i, f"please call number: +1 (702) 555-07{i}2 now") for i in range(8)] + [(20, "please call number: 7025550000 now"), (21, "please call it 7025550001 now"), (22, None), (23, "a@b.c_d@e.f 1.2.3.4 256.1.1.1, 4111 1111 1111 1111")]
     got = {r.doc_id: r for r in private_data.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
