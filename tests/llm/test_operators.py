@@ -160,6 +160,36 @@ def test_language_edges(docs, none):
     assert language.accepted_documents(none, fitted).count() == 0 and language.fit(none) == {}
 
 
+def test_language_rejects_narrow_margins(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rnd = random.Random(5)
+    words = {x.lang: x.w for x in docs.where(language.held_out(F.col("doc_id")) & F.col("lang").isin("en", "fr")).groupBy("lang").agg(F.flatten(F.collect_list(F.split("text", r"\s+"))).alias("w")).collect()}
+    words = {k: sorted(v) for k, v in words.items()}
+
+    def of(lang, n):  # drawn one by one, as some documents repeat a word all along
+        return " ".join(rnd.choices(words[lang], k=n))
+
+    def invented(parts, most):
+        return lambda n: " ".join("".join(rnd.choice(parts) for _ in range(rnd.randint(1, most))) for _ in range(n))
+
+    kinds = {
+        "junk": invented("abcdefghijklmnopqrstuvwxyz", 9),
+        "unlearned": invented("ta nen kaan lla ssa uus yö mi ko poi tu hän jär vi sel kie ka lo".split(), 4),
+        "mixed": lambda n: of("en", n // 2) + " " + of("fr", n // 2),
+    }
+    rows = [(k, n, make(n)) for k, make in kinds.items() for n in (30, 300, 3000) for _ in range(40)]
+    fitted = language.fit(language.training_rows(docs))
+    frame = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    kept = {r.doc_id for r in language.accepted_documents(frame, fitted).select("doc_id").collect()}
+    share = {(k, n): sum(i in kept for i, r in enumerate(rows) if r[:2] == (k, n)) / 40 for k in kinds for n in (30, 300, 3000)}
+    clean = docs.where(language.held_out(F.col("doc_id")))
+    whole = language.accepted_documents(clean, fitted).count() / clean.count()
+    assert all(share[k, n] <= 0.1 for k in ("junk", "unlearned") for n in (30, 300, 3000)), share
+    assert share["mixed", 3000] < 1 and whole >= 0.94, (share, whole)
+    tie = {"aa": b"alpha beta gamma delta " * 50, "bb": b"alpha beta gamma delta " * 50}
+    assert language.accepted_documents(frame, tie).count() == 0
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><a>menu</a></nav><div class='ad'>buy</div><article><h1>A &amp; B</h1><p>x<br>y <script>var a='</p>';</script>z<div class=comments>no</div></article><footer>f</footer></body>"
     plain = "<div>site</div><p>own {}</p><div>end</div>"
