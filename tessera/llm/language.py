@@ -30,7 +30,7 @@ LEAD = 200
 #: A byte of margin counts as exp(HEAT) in odds; a score below MIN_SCORE is a narrow margin.
 HEAT, MIN_SCORE = 0.35, 0.4
 #: The least difference of the two least sizes, over the least. Words of random letters or syllables stay below it but for one
-#: in twenty at worst; one to two percent of held-out texts of 128 bytes and more do at sf0.1. Half English, half French texts mostly exceed it.
+#: in twenty at worst; at most two percent of held-out texts of 128 bytes and more do at sf0.1. Half English, half French texts mostly exceed it.
 MARGIN = 0.04
 UNKNOWN = "und"
 
