@@ -1,8 +1,9 @@
 """Operator 8: exact duplicates by an exchange of Golomb-coded fingerprints.
 
-1. Each block of documents (an Arrow batch) keeps its rows in a written table and packs the sorted
-   64-bit fingerprints of its normalised texts, each once, for each owner: gaps coded by
-   Golomb-Rice with the parameter that fits their mean.
+1. Each block of documents (the rows of a partition, up to BLOCK_ROWS) keeps its rows in a written table and packs the sorted
+   fingerprints of its normalised texts, each once, for each owner: gaps coded by Golomb-Rice with the parameter that fits their
+   mean. A fingerprint has SPARE bits more than the number of documents, so one in 2^SPARE documents is taken for a suspect in vain,
+   and a gap costs log2(documents / block) + SPARE + 2 bits or less, however many documents there are.
 2. Owners (a share of the fingerprint space, set from the number of documents) merge the blocks'
    lists and answer each with a bitmap: which of its fingerprints occur elsewhere too.
 3. Only documents whose bit is set, or whose fingerprint occurs twice in their own block, are
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 from tessera.llm.common import SPACE
 
-#: Documents of one block, and fingerprints that one owner is to merge.
-BLOCK_ROWS, OWNER_ROWS = 2048, 200_000
+#: Documents of one block at most, and fingerprints that one owner is to merge.
+BLOCK_ROWS, OWNER_ROWS = 131_072, 1_000_000
+#: Bits of a fingerprint beyond those of the number of documents.
+SPARE = 12
 _SPACE_BYTES = SPACE.encode()
 
 
@@ -58,39 +61,51 @@ def golomb_decode(data: bytes, n: int) -> np.ndarray:
     return np.cumsum((high.astype(np.uint64) << np.uint64(k)) + low, dtype=np.uint64)
 
 
-_BLOCK = "block string, ids array<long>, chars array<long>, shas array<binary>, slots array<int>, twice array<boolean>, lists array<struct<owner:int,first:int,n:int,coded:binary>>"
+_BLOCK = "block long, n int, rows binary, shas binary, nulls binary, slots binary, twice binary, lists array<struct<owner:int,first:int,n:int,coded:binary>>"
+_ENTRY = pa.struct([("owner", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("coded", pa.binary())])
+_ARROW_BLOCK = pa.schema([("block", pa.int64()), ("n", pa.int32()), *((x, pa.binary()) for x in ("rows", "shas", "nulls", "slots", "twice")), ("lists", pa.list_(_ENTRY))])
 
 
-def _blocks(owners: int):
+def _blocks(owners: int, bits: int):
+    """Blocks as columns of bytes: rows holds __f, __i, doc_id and characters of each row as longs."""
+
+    def pack(number: int, parts: list) -> pa.RecordBatch:
+        rows, nulls, prints, shas = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        values, slots, counts = np.unique(prints, return_inverse=True, return_counts=True)
+        owner = np.array([int(x) * owners >> bits for x in values], np.int64)
+        lists, first = [], 0
+        for o, n in zip(*np.unique(owner, return_counts=True), strict=True):
+            part = values[first : first + n] - np.uint64(-(-(int(o) << bits) // owners))
+            lists.append({"owner": int(o), "first": first, "n": int(n), "coded": golomb_encode(part)})
+            first += int(n)
+        row = {"block": number, "n": len(rows), "rows": rows.tobytes(), "shas": shas.tobytes(), "nulls": nulls.tobytes(), "slots": slots.astype(np.int32).tobytes(), "twice": (counts > 1)[slots].tobytes(), "lists": lists}
+        return pa.RecordBatch.from_pylist([row], _ARROW_BLOCK)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+        from pyspark import TaskContext
 
+        number, parts, held = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            texts = batch.column(1)
-            chars = pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64())
-            prints, shas = np.empty(len(texts), np.uint64), []
+            texts, ids = batch.column(3), batch.column(2)
+            n = len(texts)
+            rows = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), pc.fill_null(ids, 0).to_numpy(), pc.fill_null(pc.utf8_length(texts), 0).to_numpy().astype(np.int64)], 1)
+            prints, shas = np.empty(n, np.uint64), np.empty((n, 32), np.uint8)
             for i, x in enumerate(texts.cast(pa.large_binary())):
                 plain = (x.as_py() or b"").translate(None, _SPACE_BYTES)
-                prints[i] = xxhash.xxh3_64_intdigest(plain)
-                shas.append(hashlib.sha256(plain).digest())
-            values, slots, counts = np.unique(prints, return_inverse=True, return_counts=True)
-            owner = (((values >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)).astype(np.int64)
-            lists, first = [], 0
-            for o, n in zip(*np.unique(owner, return_counts=True), strict=True):
-                part = values[first : first + n] - np.uint64(-(-(int(o) << 32) // owners) << 32)
-                lists.append({"owner": int(o), "first": first, "n": int(n), "coded": golomb_encode(part)})
-                first += int(n)
-            row = {"block": uuid.uuid4().hex, "ids": batch.column(0).to_pylist(), "chars": chars.to_pylist(), "shas": shas, "slots": slots.tolist(), "twice": (counts > 1)[slots].tolist(), "lists": lists}
-            yield pa.RecordBatch.from_pylist([row], _arrow_block())
+                prints[i] = xxhash.xxh3_64_intdigest(plain) >> (64 - bits)
+                shas[i] = np.frombuffer(hashlib.sha256(plain).digest(), np.uint8)
+            if n:
+                parts.append((rows, np.asarray(pc.is_null(ids).to_numpy(zero_copy_only=False), bool), prints, shas))
+                held += n
+            if held >= BLOCK_ROWS:
+                yield pack(number, parts)
+                number, parts, held = number + 1, [], 0
+        if parts:
+            yield pack(number, parts)
 
     return run
 
 
-def _arrow_block() -> pa.Schema:
-    entry = pa.struct([("owner", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("coded", pa.binary())])
-    return pa.schema([("block", pa.string()), ("ids", pa.list_(pa.int64())), ("chars", pa.list_(pa.int64())), ("shas", pa.list_(pa.binary())), ("slots", pa.list_(pa.int32())), ("twice", pa.list_(pa.bool_())), ("lists", pa.list_(entry))])
-
-
 def _own(group: pa.Table) -> pa.Table:
     """An owner's answer: a bitmap for each block's list."""
     counts = [int(n) for n in group["n"].to_pylist()]
@@ -100,17 +115,50 @@ def _own(group: pa.Table) -> pa.Table:
     return pa.table({"block": group["block"], "first": group["first"], "n": group["n"], "bitmap": pa.array([np.packbits(x).tobytes() for x in flags], pa.binary())})
 
 
-_DOCS = "doc_id long, n_chars long, sha binary, suspect boolean"
+_DOCS = "__f long, __i long, doc_id long, n_chars long, sha binary, suspect boolean"
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
+            n = row["n"]
             flags = np.zeros(sum(x["n"] for x in row["answers"]), bool)
             for x in row["answers"]:
                 flags[x["first"] : x["first"] + x["n"]] = np.unpackbits(np.frombuffer(x["bitmap"], np.uint8))[: x["n"]]
-            suspect = flags[np.array(row["slots"])] | np.array(row["twice"])
-            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["chars"], pa.int64()), pa.array(row["shas"], pa.binary()), pa.array(suspect)], ["doc_id", "n_chars", "sha", "suspect"])
+            suspect = flags[np.frombuffer(row["slots"], np.int32)] | np.frombuffer(row["twice"], bool)
+            rows, nulls = np.frombuffer(row["rows"], np.int64).reshape(n, 4), np.frombuffer(row["nulls"], bool)
+            shas = pa.Array.from_buffers(pa.binary(32), n, [None, pa.py_buffer(row["shas"])]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2], mask=nulls), pa.array(rows[:, 3]), shas, pa.array(suspect)], ["__f", "__i", "doc_id", "n_chars", "sha", "suspect"])
+
+
+def marked(rows: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """The columns of exact_duplicates for rows with keys (__f, __i, doc_id, text), with the keys, and `stays`, true for one row of each group."""
+    spark = rows.sparkSession
+    common.small_batches(spark)
+    docs = rows.select("__f", "__i", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    count = docs.count()
+    owners, bits = max(1, -(-count // OWNER_ROWS)), min(64, max(1, count).bit_length() + SPARE)
+    blocks = scratch.write(docs.mapInArrow(_blocks(owners, bits), _BLOCK), "blocks")
+
+    sent = blocks.select("block", F.explode("lists").alias("x")).select("block", "x.*")
+    answers = sent.groupBy("owner").applyInArrow(_own, "block long, first int, n int, bitmap binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("first", "n", "bitmap")).alias("answers"))
+    home = blocks.drop("lists").join(answers, "block")
+    found = scratch.write(home.select("n", "rows", "shas", "nulls", "slots", "twice", "answers").mapInArrow(_answered, _DOCS), "rows")
+    scratch.drop("blocks")
+
+    some = scratch.write(found.where("suspect").select("__f", "__i"), "suspects")
+    texts = docs.join(common.bounded(some, some.count()), ["__f", "__i"], "left_semi")
+    text = F.coalesce("text", F.lit(""))
+    best = F.min(F.struct((-F.length(text).cast("long")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "__f", "__i"))
+    groups = texts.select(F.translate(text, SPACE, "").alias("plain"), "doc_id", "text", "__f", "__i").groupBy("plain").agg(best.alias("best"), F.count("*").alias("group_size"))
+    groups = scratch.write(groups.select(F.unhex(F.sha2("plain", 256)).alias("sha"), "best", "group_size"), "groups")
+    scratch.drop("suspects")
+    both = common.hot_join(found.where("suspect"), groups, ["sha"], groups.select("sha", F.col("group_size").alias("n")), count, F.col("__i"))
+    both = both.withColumn("stays", (F.col("__f") == F.col("best.__f")) & (F.col("__i") == F.col("best.__i"))).withColumn("keep_id", F.col("best.doc_id"))
+    alone = found.where("not suspect").withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(1).cast("long")).withColumn("stays", F.lit(True))
+    columns = ["__f", "__i", "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "stays"]
+    return both.select(*columns).union(alone.select(*columns))
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -118,32 +166,19 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts are equal when their bytes without ASCII white space are. Null, empty and blank texts are all
     equal. The longest original text stays, then the least doc_id; of repeated rows with one doc_id
-    all say kept. Rows without doc_id count as one doc_id, after all others. Other columns of docs are not looked at.
+    all say kept. Rows without doc_id count as one doc_id, after all others. No docs give no rows. Other columns of docs are not looked at.
     """
-    spark = docs.sparkSession
-    common.small_batches(spark, BLOCK_ROWS)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scratch = common.Scratch(spark, "exact")
-    owners = max(1, -(-docs.count() // OWNER_ROWS))
-    blocks = scratch.write(docs.mapInArrow(_blocks(owners), _BLOCK), "blocks")
+    scratch = common.Scratch(docs.sparkSession, "exact")
+    return marked(common.keyed(docs.select("doc_id", "text"), scratch), scratch).drop("__f", "__i", "stays")
 
-    sent = blocks.select("block", F.explode("lists").alias("x")).select("block", "x.*")
-    answers = sent.groupBy("owner").applyInArrow(_own, "block string, first int, n int, bitmap binary")
-    answers = answers.groupBy("block").agg(F.collect_list(F.struct("first", "n", "bitmap")).alias("answers"))
-    home = blocks.select("block", "ids", "chars", "shas", "slots", "twice").join(answers, "block")
-    rows = scratch.write(home.drop("block").select("ids", "chars", "shas", "slots", "twice", "answers").mapInArrow(_answered, _DOCS), "rows")
-    scratch.drop("blocks")
 
-    ids = scratch.write(rows.where("suspect").select("doc_id").distinct(), "suspects")
-    texts = docs.join(common.bounded(ids.toDF("id"), ids.count()), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    chars, plain = F.length(F.coalesce("text", F.lit(""))), F.translate(F.coalesce("text", F.lit("")), SPACE, "")
-    best = F.max(F.struct(chars.cast("long").alias("n"), (-F.col("doc_id")).alias("minus")))
-    groups = texts.select(plain.alias("plain"), "doc_id", "text").groupBy("plain").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select(F.unhex(F.sha2("plain", 256)).alias("sha"), (-F.col("best.minus")).alias("keep_id"), "group_size")
-    found = rows.where("suspect").join(scratch.write(groups, "groups"), "sha")
-    alone = rows.where("not suspect").select("sha", "doc_id", "n_chars", "suspect", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    out = found.select(*alone.columns).union(alone)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and further columns) but one of each group of equal texts, unchanged: the longest, then the one with the
+    least doc_id, then of repeated rows any one."""
+    scratch = common.Scratch(docs.sparkSession, "exact")
+    rows, back = common.renamed(docs, ("doc_id", "text"))
+    rows = common.keyed(rows, scratch)
+    return common.without(rows, marked(rows, scratch).where("not stays"), scratch).select(*back)
 
 
 def op8_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ third of all rows is spread over many tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,8 +29,8 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 LEAST_SLOTS, BLOCK_WORDS = 65_536, 2048
 #: Most sources that are searched in an array; more are joined.
 ARRAY_SOURCES = 256
-#: Rows of one bucket of the two-level sums.
-BUCKET_ROWS = 20_000
+#: Rows of one bucket of the two-level sums: the square root of all rows, and so many at least.
+BUCKET_ROWS = 1000
 #: The conjugate of the golden ratio, in two parts of which the first times 2^20 is exact enough for 10^12 slots.
 _PHI = 0.6180339887498949
 
@@ -55,7 +57,11 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     return t.select("idx", "source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")).alias("target"))
 
 
-def running(df: DataFrame, key: str, order: list, value: Column, buckets: int, bucket: Column, scratch: common.Scratch, name: str) -> DataFrame:
+def bucket_rows(rows: int) -> int:
+    return max(BUCKET_ROWS, math.isqrt(rows))
+
+
+def running(df: DataFrame, key: str, order: list, value: Column, bucket: Column, scratch: common.Scratch, name: str) -> DataFrame:
     """df with __before, the sum of value over the rows of key that come earlier in (bucket, order), and __rank, their number."""
     df = scratch.write(df.withColumn("__bucket", bucket).withColumn("__value", value), name)
     sums = df.groupBy(key, "__bucket").agg(F.sum("__value").alias("s"), F.count("*").alias("c"))
@@ -92,43 +98,68 @@ def schedule(t: DataFrame, slots: int, scratch: common.Scratch) -> DataFrame:
         cell = lambda u: F.floor(F.least(F.col(u), F.lit(1.0)) * 4 * n)
         spans = ends.withColumn("cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
         found = points.withColumn("cell", cell("u")).join(common.bounded(spans, 6 * n), "cell").where("u < hi AND u >= lo").select("k", "idx")
-    out = running(found, "idx", ["k"], F.lit(1), 0, F.floor(F.col("k") / BUCKET_ROWS), scratch, "slots")
+    out = running(found, "idx", ["k"], F.lit(1), F.floor(F.col("k") / bucket_rows(slots)), scratch, "slots")
     return out.select("k", "idx", F.col("__rank").alias("number"))
 
 
-def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """All of docs (doc_id, text, source) as one row a document, with its source's target and the words that the mix takes of it.
-
-    doc_id, size, source_size, target, taken, source_index, and pieces: (slot, copy, first word, words) of each
-    piece in the mix, first word counted from 0. Null text has no words and no pieces; null source is a
-    source, the last. Repeated rows and rows without doc_id are documents of their own. Empty docs give no rows.
-    """
-    spark = docs.sparkSession
-    scratch = common.Scratch(spark, "mix")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+def marked(rows: DataFrame, scratch: common.Scratch, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The columns of mixed for rows with keys (__f, __i, doc_id, text, source), with the keys."""
+    d = rows.select("__f", "__i", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
     d = scratch.write(d, "docs")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     t = scratch.write(targets(sizes.select("source", "source_size"), weights, share, most), "targets")
-    rows, sources, total, words = (x or 0 for x in sizes.agg(F.sum("n"), F.count("*"), F.sum("source_size"), F.lit(0)).first())
+    rows, sources, total = (x or 0 for x in sizes.agg(F.sum("n"), F.count("*"), F.sum("source_size")).first())
     total = t.agg(F.sum("target")).first()[0] or 0.0
     block = int(max(1, min(BLOCK_WORDS, total // LEAST_SLOTS)))
     slots = int(total / block + 0.5)
-    d = d.join(common.bounded(t, sources), d.source.eqNullSafe(t.source)).select("doc_id", "size", "idx", "source_size", "target", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
-    buckets = max(1, -(-rows // BUCKET_ROWS))
+    d = d.join(common.bounded(t, sources), d.source.eqNullSafe(t.source)).select("__f", "__i", "doc_id", "size", "idx", "source_size", "target", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    buckets = max(1, -(-rows // bucket_rows(rows)))
     bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / 2**32)
-    d = running(d, "idx", ["h", "doc_id", "size"], F.col("size"), buckets, bucket, scratch, "shuffled")
+    d = running(d, "idx", ["h", "doc_id", "size", "__f", "__i"], F.col("size"), bucket, scratch, "shuffled")
     d = scratch.write(d.withColumnRenamed("__before", "start").withColumnRenamed("__rank", "rank").drop("h"), "laid")
+    scratch.drop("docs", "shuffled", "shuffled-base")
 
-    # where each copy of a document lies in its source's endless line, cut at the blocks' ends
+    # where each copy of a document lies in its source's endless line, cut at the ends of the blocks that the schedule takes
+    plan = scratch.write(schedule(t, slots, scratch) if slots else t.limit(0).select(F.lit(0).cast("long").alias("k"), "idx", F.lit(0).cast("long").alias("number")), "plan")
+    reach = scratch.write(plan.groupBy("idx").agg((F.max("number") + 1).alias("blocks")), "reach")
     copies = d.where("size > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("at", F.col("start") + F.col("copy") * F.col("source_size"))
-    numbers = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))
-    pieces = copies.where(F.col("at") < F.col("target") + 8 * block).select("idx", "rank", "copy", "at", "size", F.explode(numbers).alias("number"))
+    copies = copies.join(common.bounded(reach, sources), "idx").where(F.col("at") < F.col("blocks") * block)
+    numbers = F.sequence(F.floor(F.col("at") / block), F.least(F.floor((F.col("at") + F.col("size") - 1) / block), F.col("blocks") - 1))
+    pieces = copies.select("idx", "rank", "copy", "at", "size", F.explode(numbers).alias("number"))
     low, high = F.greatest("at", F.col("number") * block), F.least(F.col("at") + F.col("size"), (F.col("number") + 1) * block)
     pieces = pieces.select("idx", "rank", "copy", "number", (low - F.col("at")).alias("first"), (high - low).alias("words"))
-    taken = pieces.join(schedule(t, slots, scratch), ["idx", "number"]) if slots else pieces.limit(0).withColumn("k", F.lit(0).cast("long"))
+    taken = pieces.join(plan, ["idx", "number"])
     taken = taken.groupBy("idx", "rank").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct(F.col("k").alias("slot"), "copy", "first", "words"))).alias("pieces"))
     out = d.join(taken, ["idx", "rank"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("idx").alias("source_index"), "pieces")
+    return out.select("__f", "__i", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("idx").alias("source_index"), "pieces")
+
+
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """All of docs (doc_id, text, source) as one row a document, with its source's target and the words that the mix takes of it.
+
+    doc_id, size, source_size, target, taken, source_index, and pieces: (slot, copy, first word, words) of each
+    piece in the mix, first word counted from 0. Null text has no words and no pieces; null source is a
+    source, the last. Repeated rows and rows without doc_id are documents of their own. Empty docs give no rows. Other columns are not looked at.
+    """
+    scratch = common.Scratch(docs.sparkSession, "mix")
+    return marked(common.keyed(docs.select("doc_id", "text", "source"), scratch), scratch, weights, share, most).drop("__f", "__i")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """The mix itself, in the order of its schedule: rows of docs (doc_id, text, source, n_chars and further columns) as often as it takes them, up
+    to twice; the last that a source gives may be cut after the words that were taken, and then has its own n_chars."""
+    scratch = common.Scratch(docs.sparkSession, "mix")
+    rows, back = common.renamed(docs, ("doc_id", "text", "source", "n_chars"))
+    rows = common.keyed(rows, scratch)
+    pieces = marked(rows, scratch).select("__f", "__i", "size", F.explode("pieces").alias("p"))
+    copies = pieces.groupBy("__f", "__i", "size", "p.copy").agg(F.min("p.slot").alias("__slot"), F.sum("p.words").alias("__words"))
+    both = rows.join(copies.withColumnRenamed("size", "__size").drop("copy"), ["__f", "__i"])
+    words = F.split(F.btrim("text", F.lit(common.SPACE)), "[\\x20\\x09-\\x0D]+", -1)
+    text = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(words, 1, F.col("__words").cast("int")), " ")).otherwise(F.col("text"))
+    out = both.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__words") < F.col("__size"), F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
+    return out.repartitionByRange("__slot").sortWithinPartitions("__slot").select(*back)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
