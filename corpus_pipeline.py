@@ -1,54 +1,42 @@
 """The corpus pipeline: language ID, exact dedup, near-dedup, mixing to target weights, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; between stages
-the rows are a Parquet table. All but the last return the columns of documents.
+the rows are a Parquet table. All but the last return the columns of documents. A stage names rows by their place in its
+input, never by doc_id, so rows that repeat a doc_id or have none are rows of their own; exact and near dedup leave one
+of rows that are the same.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import common, exact_dup, language, mixing, near_dup, packing
 
 
-def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """docs without the rows whose doc_id is in gone; rows without doc_id stay."""
-    gone = common.Scratch(docs.sparkSession, name).write(gone.select("doc_id"), "gone")
-    return docs.join(common.bounded(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
-
-
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; null texts, texts without a letter and narrow margins go."""
+    """Documents whose language is recognised; null texts, texts without a letter and narrow margins go. Repeated rows stay as often."""
     return language.accepted_documents(docs, language.fit(language.training_rows(docs)))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _without(docs, exact_dup.exact_duplicates(docs).where("not kept"), "exact-gone")
+    """One row of each group of equal texts; null, empty and blank texts are one group. Of repeated rows one stays."""
+    return exact_dup.without_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return _without(docs, near_dup.near_duplicates(docs, width=5, percent=80).where("not kept"), "near-gone")
+    """One row of each group of near copies: five-word shingles, similarity 0.8 or more. Rows without words all stay, and of repeated
+    rows with words one."""
+    return near_dup.without_near_copies(docs, width=5, percent=80)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix, in the order of its schedule: documents as often as it takes them, up to twice; the last that a
-    source gives may be cut after the words that were taken."""
-    pieces = mixing.mixed(docs).select("doc_id", "size", F.explode("pieces").alias("p"))
-    copies = pieces.groupBy("doc_id", "size", "p.copy").agg(F.min("p.slot").alias("slot"), F.sum("p.words").alias("words"))
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("slot").alias("__slot"), F.col("words").alias("__words"))
-    sized = docs.withColumn("__own", mixing.n_words(F.col("text")))
-    both = sized.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__size")))
-    words = F.split(F.btrim("text", F.lit(common.SPACE)), "[\\x20\\x09-\\x0D]+", -1)
-    text = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(words, 1, F.col("__words").cast("int")), " ")).otherwise(F.col("text"))
-    out = both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return out.repartitionByRange("__slot").sortWithinPartitions("__slot").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix, in the order of its schedule: rows as often as it takes them, up to twice; the last that a
+    source gives may be cut after the words that were taken. Rows without words are never taken; repeated rows are rows of their own."""
+    return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
+    """The pieces of all rows in sequences of 2048 tokens; repeated rows are packed each."""
     return packing.pack_in_order(docs)
 
 
@@ -68,4 +56,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
