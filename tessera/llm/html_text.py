@@ -9,7 +9,8 @@ scripts, styles, comments) give none. An element whose end tag is left out ends
 of the neighbour whose path shares the longest prefix, by a longest common subsequence, and shared
 lines are deleted, be they inside or outside an article or main element. Pages may rightly hold the same article:
 where the shared lines inside are half or more of the shorter of the two articles, by characters, the articles are copies
-and their lines stay. A page whose every line is shared is a copy, about which differencing says nothing: it keeps its lines.
+and their lines stay. Where a page has neighbours on both sides, a line inside is deleted only if the other one has it, too: what a site repeats
+stands on more than two pages, a quoted passage may stand on two. A page whose every line is shared is a copy, about which differencing says nothing: it keeps its lines.
 Without a neighbour, structure alone decides: the article, if it is half or more of the page, else all lines.
 """
 
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 _TOKEN = re.compile(
-    r"""<!--(?:.*?-->|.*+)|<(script|style|noscript|iframe|textarea)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
+    r"""<!--(?:.*?-->|.*+)|<(script|style|noscript|iframe|textarea)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
     re.S | re.I,
 )
+#: Elements whose content is no markup, by their end tags.
+_RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "noscript", "iframe", "textarea")}
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset(("article", "main"))
@@ -56,8 +59,12 @@ _SPECIAL = _BLOCKS | _PARTS | _DROP
 DEPTH = 512
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?""")
+#: Names (class, id) of what is no main text, and the words that may follow one in a name: social-links, but not social-science.
+_NAMES = "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies notice consent gdpr sidebar side-bar nav navbar navigation menu header footer masthead breadcrumb breadcrumbs comment comments commentlist respond share sharing social related newsletter subscribe popup modal overlay pagination pager"
+_PARTS_OF = "area articles banner bar block body box button buttons center column container content count desktop dialog footer form group header icons inner item items left link links list main message mobile module nav notice outer overlay panel policy popup post posts primary right row secondary section sidebar signup slot space stories text thread tools top bottom unit warning widget widgets wrap wrapper"
+_SITE = "top site main page global user reader"
 _BOILER = re.compile(
-    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|notice|consent|gdpr|sidebar|side-bar|nav|navbar|navigation|menu|header|footer|masthead|breadcrumbs?|comments?|commentlist|respond|share|sharing|social|related|newsletter|subscribe|popup|modal|overlay|pagination|pager)(?:[-_][\w-]*)?|(?:top|site|main|page|global|user|reader)[-_]?(?:ads?|banner|nav|menu|header|footer|comments?|notice)",
+    rf"(?:(?:{'|'.join(_SITE.split())})[-_]?)?(?:{'|'.join(_NAMES.split())})(?:[-_]+(?:{'|'.join((_NAMES + ' ' + _PARTS_OF).split())}|[0-9]+|[0-9]+x[0-9]+))*",
     re.I,
 )
 
@@ -76,6 +83,23 @@ def _boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
+def _tokens(page: str) -> Iterator[tuple[re.Match, int]]:
+    """Tags and comments, and where what belongs to them ends. A script or style without an end tag goes on to the page's end, as
+    in browsers; other elements without markup that are not ended, or are closed in themselves, are empty."""
+    at, open_ = 0, set()
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        name = (m[1] or "").lower()
+        if name and not (m[0].endswith("/>") and name not in ("script", "style")):
+            end = None if name in open_ else _RAW[name].search(page, at)
+            if end:
+                at = end.end()
+            else:
+                open_.add(name)
+                at = len(page) if name in ("script", "style") else at
+        yield m, at
+
+
 def lines(page: str | None) -> tuple[list[str], list[bool]]:
     """The lines in their order, boilerplate elements left out, and which of them are inside an article or main element."""
     out: list[str] = []
@@ -126,13 +150,13 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
                 return
 
     page = page or ""
-    for m in _TOKEN.finditer(page):
+    for m, ends in _tokens(page):
         if m.start() > at:
             if opened and opened[-1][0] == "head" and not page[at : m.start()].isspace():
                 close_to(len(opened) - 1)
             if not skip:
                 text.append(page[at : m.start()])
-        at = m.end()
+        at = ends
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
@@ -209,8 +233,8 @@ def _size(page: tuple[list[str], list[bool]], of: Iterable[int] | None = None) -
     return sum(len(page[0][i]) for i in (range(len(page[0])) if of is None else of) if page[1][i])
 
 
-def kept(page: tuple[list[str], list[bool]], other: tuple[list[str], list[bool]] | None) -> list[str]:
-    """The lines of a page that are its main text, seen beside its neighbour."""
+def kept(page: tuple[list[str], list[bool]], other: tuple[list[str], list[bool]] | None, third: tuple[list[str], list[bool]] | None = None) -> list[str]:
+    """The lines of a page that are its main text, seen beside its neighbour; third is the neighbour on its other side, if there is one."""
     text, inside = page
     article = _size(page)
     if other is None:
@@ -219,6 +243,9 @@ def kept(page: tuple[list[str], list[bool]], other: tuple[list[str], list[bool]]
     back = _size(other)
     if article and 2 * _size(page, gone) >= min(article, back or article):
         gone = {i for i in gone if not inside[i]}
+    elif third is not None:
+        told = set(third[0])
+        gone = {i for i in gone if not inside[i] or text[i] in told}
     return text if len(gone) == len(text) else [x for i, x in enumerate(text) if i not in gone]
 
 
@@ -323,7 +350,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, page_id, url in pages:
             k = max(range(len(near)), key=lambda i: len(os.path.commonprefix([near[i][0], path])), default=-1)
             if k not in known:
-                known[k] = "\n\n".join(kept(own, near[k][1] if near else None))
+                known[k] = "\n\n".join(kept(own, near[k][1] if near else None, near[1 - k][1] if len(near) == 2 else None))
             yield page_id, url, known[k]
 
     def found() -> Iterator[tuple]:
@@ -361,7 +388,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html).
 
-    Null or empty html gives an empty text. A null url is a host and path of its own. Repeated rows give a row each.
+    Null or empty html gives an empty text. A null url is a host and path of its own. Repeated rows give a row each; pages with equal lines that
+    stand together have the same neighbours. Of two neighbours whose paths share as much, the one before is taken. No pages give no rows.
     Other columns of pages are not looked at.
     """
     common.small_batches(pages.sparkSession, 256)

@@ -1,13 +1,13 @@
 """Operator 5: language by compression against per-language dictionaries.
 
 Each language has a raw-content zstandard dictionary of passages from labelled documents. A text's words, in lower case, are compressed with
-every dictionary, in blocks of whole texts; the language with the smallest sum wins. The score is the
-softmax of the sizes in bits, tempered. A prediction is rejected when the margin to the next language is narrow: below
-MARGIN of the least size, at any length, or when its score is below MIN_SCORE.
+every dictionary, in blocks of whole texts, each behind a passage that the dictionary holds, so that in a short text, too, every match counts;
+the language with the smallest sum wins. The score is the softmax of the sizes in bits, tempered. A prediction is rejected when the margin to
+the next language is narrow: below MARGIN of the least size, at any length, or when its score is below MIN_SCORE.
 
-Fitting looks at a bounded sample: DOCS_PER_LANG documents of each language with the least hashes of doc_id, and of
-each its first PASSAGE bytes, at most DICT_BYTES a language and MAX_LANGS languages. Predictions read
-whole texts.
+Fitting looks at a bounded sample: DOCS_PER_LANG documents of each language with the least hashes of doc_id, and of each its first PASSAGE
+characters, at most DICT_BYTES bytes a language. Every language of the labels is learned; beyond SAMPLE_DOCS / DOCS_PER_LANG languages each
+has fewer documents, so that the sample stays at SAMPLE_DOCS, or one for each language. Predictions read whole texts, all in the same way.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-DOCS_PER_LANG, PASSAGE, DICT_BYTES, MAX_LANGS = 256, 1024, 160_000, 200
-#: Bytes of a text that are compressed at once; texts of up to FINE bytes are compressed with LEVELS[0], others with LEVELS[1].
-BLOCK, FINE, LEVELS = 16_384, 512, (19, 3)
-#: Bytes of its own dictionary that go before a short text.
+DOCS_PER_LANG, PASSAGE, DICT_BYTES, SAMPLE_DOCS = 256, 1024, 160_000, 51_200
+#: Bytes of a text that are compressed at once, and how hard.
+BLOCK, LEVEL = 16_384, 9
+#: Bytes of its own dictionary that go before a block.
 LEAD = 200
 #: A byte of margin counts as exp(HEAT) in odds; a score below MIN_SCORE is a narrow margin.
 HEAT, MIN_SCORE = 0.35, 0.4
@@ -36,22 +36,25 @@ UNKNOWN = "und"
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    """Whether a document is never learned from; a row without doc_id is learned from."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
     """lang -> dictionary, from docs (doc_id, text, lang). Counts first, then a hash threshold keeps what is ranked small."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
-    near = F.broadcast(counts.select(F.col("lang").alias("l"), (F.lit(4.0 * DOCS_PER_LANG) / F.col("count")).alias("share")))
+    counts = docs.groupBy("lang").count()
+    langs = max(1, counts.count())
+    docs_per_lang, dict_bytes = (max(1, min(most, SAMPLE_DOCS * most // (langs * DOCS_PER_LANG))) for most in (DOCS_PER_LANG, DICT_BYTES))
+    near = common.bounded(counts.select(F.col("lang").alias("l"), (F.lit(4.0 * docs_per_lang) / F.col("count")).alias("share")), langs)
     h = F.xxhash64("doc_id", F.lit(17))
     some = docs.join(near, F.col("lang") == F.col("l")).where(F.pmod(h, F.lit(1 << 30)) < F.col("share") * (1 << 30))
     some = some.select("lang", "doc_id", h.alias("h"), F.substring("text", 1, PASSAGE).alias("passage"))
-    some = some.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "passage"))).where(F.col("n") <= DOCS_PER_LANG)
+    some = some.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "passage"))).where(F.col("n") <= docs_per_lang)
     out: dict[str, list[bytes]] = {}
-    for r in some.orderBy("lang", F.desc("n")).collect():  # at most MAX_LANGS * DOCS_PER_LANG passages
+    for r in some.orderBy("lang", F.desc("n")).collect():  # SAMPLE_DOCS passages at most, or one a language
         out.setdefault(r.lang, []).append(letters(r.passage))
-    return {k: b"\n".join(v)[-DICT_BYTES:] for k, v in out.items()}
+    return {k: b"\n".join(v)[-dict_bytes:] for k, v in out.items()}
 
 
 def letters(text: str) -> bytes:
@@ -67,24 +70,19 @@ def _predictor(dictionaries: dict[str, bytes]):
 
         langs = sorted(dictionaries)
         tools = []
-        for level in LEVELS:
-            tools.append([])
-            for lang in langs:
-                d = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                f = z.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False).compress
-                lead = dictionaries[lang][:LEAD]
-                tools[-1].append((f, lead, len(f(lead))))
+        for lang in langs:
+            d = z.ZstdCompressionDict(dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            f = z.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False).compress
+            lead = dictionaries[lang][:LEAD]
+            tools.append((f, lead, len(f(lead))))
 
         def predict(text: bytes | None) -> tuple[str, float, float]:
             if text is None or not langs or not any(map(str.isalpha, plain := text.decode())):
                 return UNKNOWN, 0.0, 0.0
             text = letters(plain)
-            if len(text) <= FINE:  # zstandard stores a short text as it is; behind a passage that it knows, each match counts
-                sizes = [len(f(lead + text)) - known for f, lead, known in tools[0]]
-            else:
-                view = memoryview(text)
-                sizes = [sum(len(f(view[at : at + BLOCK])) for at in range(0, len(text), BLOCK)) for f, _, _ in tools[1]]
+            blocks = [text[at : at + BLOCK] for at in range(0, len(text), BLOCK)]
+            sizes = [sum(len(f(lead + x)) - known for x in blocks) for f, lead, known in tools]
             least = min(sizes)
             best = sizes.index(least)
             margin = (min(sizes[:best] + sizes[best + 1 :], default=math.inf) - least) / max(least, 1)
@@ -111,14 +109,19 @@ def _scorer(dictionaries: dict[str, bytes]):
 
 
 def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """doc_id, lang_pred, score of every row of docs (doc_id, text). Null texts and texts without a letter: und, 0."""
+    """doc_id, lang_pred, score of every row of docs (doc_id, text). Null texts and texts without a letter: und, 0.
+
+    Of languages with equal sizes the first by name is taken. Repeated rows give a row each, no docs no rows; without dictionaries all is und.
+    Other columns of docs are not looked at.
+    """
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_scorer(dictionaries), "doc_id long, lang_pred string, score double")
 
 
 def accepted_documents(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """The rows of docs (doc_id, text and further columns) whose prediction is not rejected, unchanged."""
+    """The rows of docs (doc_id, text and further columns) whose prediction is not rejected, unchanged; repeated rows as often. A tie is
+    a narrow margin."""
     common.small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     inner = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])

@@ -6,7 +6,8 @@ in a trie and each node's forward score is computed once, when the node is made,
 a pre-token's count stands at its last node. Each task holds its own trie, made anew beyond NODES nodes:
 no shuffle, bounded memory.
 
-The model: log-probabilities by Zipf's law over the vocabulary's own order, -log(rank + 2.7). Characters
+The model: log-probabilities by Zipf's law over the vocabulary's own order, -log(rank + 2.7). The public vocabularies at hand are BPE
+ones, whose pieces have ranks but no probabilities; none are fitted, since tokenizers are not to be trained here. Characters
 outside the vocabulary cost one token for each UTF-8 byte. Equal scores take fewer tokens.
 """
 
@@ -103,7 +104,10 @@ def _counter(path: str):
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_words, n_tokens of every row of docs (doc_id, text). Null, empty and blank texts have none of either."""
+    """doc_id, n_words, n_tokens of every row of docs (doc_id, text). Null, empty and blank texts have none of either.
+
+    Repeated rows give a row each, no docs no rows. Other columns of docs are not looked at.
+    """
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_counter(path or tokens.default_path("piece_bpe_32k.model")), "doc_id long, n_words long, n_tokens long")

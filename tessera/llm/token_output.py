@@ -72,13 +72,18 @@ def best_fit_decreasing(lengths: list[int], size: int = SIZE) -> list[list[int]]
 _SEQUENCES = "sequence_id long, n_tokens long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, input_ids binary, position_ids binary, ids_crc32 long"
 
 
+def id_type(vocab: dict[str, int]) -> str:
+    """Two bytes an id, or four where the vocabulary has ids that two do not hold."""
+    return "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
+
+
 def _packer(path: str):
-    def emit(bins: list, number: int) -> pa.RecordBatch:
+    def emit(bins: list, number: int, kind: str) -> pa.RecordBatch:
         rows: dict = {k: [] for k in ("sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", "input_ids", "position_ids", "ids_crc32")}
         for k, pieces in enumerate(bins):
             ids, lens = np.concatenate([p[2] for p in pieces]), [len(p[2]) for p in pieces]
             ends = np.cumsum([0, *lens])
-            matrix, places = np.full(SIZE, PAD, "<u2"), np.zeros(SIZE, "<u2")
+            matrix, places = np.full(SIZE, PAD, kind), np.zeros(SIZE, "<u2")
             matrix[: len(ids)] = ids
             places[: len(ids)] = np.arange(len(ids)) - np.repeat(ends[:-1], lens)
             for key, v in zip(rows, (number + k, len(ids), [p[0] for p in pieces], [p[1] for p in pieces], ends.tolist(), matrix.tobytes(), places.tobytes(), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
@@ -90,6 +95,7 @@ def _packer(path: str):
         from pyspark import TaskContext
 
         words, number, items, held = WordIds(path), TaskContext.get().partitionId() << 36, [], 0
+        kind = id_type(words.vocab())
 
         def packed(last: bool) -> tuple[list, list]:
             bins = [[items[k] for k in b] for b in best_fit_decreasing([len(x[2]) for x in items])]
@@ -103,20 +109,22 @@ def _packer(path: str):
                 full, items = packed(False)
                 held = sum(len(x[2]) for x in items)
                 for at in range(0, len(full), 128):
-                    yield emit(full[at : at + 128], number + at)
+                    yield emit(full[at : at + 128], number + at, kind)
                 number += len(full)
         full = packed(True)[0]
         for at in range(0, len(full), 128):
-            yield emit(full[at : at + 128], number + at)
+            yield emit(full[at : at + 128], number + at, kind)
 
     return run
 
 
 def packed_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     """A row for each sequence of docs (doc_id, text): its pieces (doc_ids, starts), cumulative lengths, and rows of
-    two matrices, ids and positions that start again at 0 with every piece, as little-endian uint16 padded to SIZE.
+    two matrices, ids and positions that start again at 0 with every piece, as little-endian uint16 padded to SIZE (ids as uint32
+    where the vocabulary needs it: input_ids then has four bytes an id). What lies beyond n_tokens is padding, whatever its id.
 
-    Null, empty and blank texts are their end id alone. Repeated rows are packed each. No docs, no sequences.
+    Null, empty and blank texts are their end id alone; rows without doc_id have null among doc_ids. Repeated rows are packed each. Pieces of equal
+    length go in the order of their rows. No docs, no sequences. Other columns of docs are not looked at.
     """
     common.small_batches(docs.sparkSession, 256)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -54,7 +54,8 @@ def test_stages_on_odd_rows(spark):
         out = stage(spark, docs, "")
         assert out.columns == docs.columns
         got = [(r.doc_id, r.text) for r in out.collect()]
-        assert (1, words) in got and (None, words + " x") in got and len(got) <= 2 * len(rows)
+        # 6 of 7 shingles are shared: a near copy, which goes even without a doc_id (rows without one were once never removed)
+        assert (1, words) in got and ((None, words + " x") in got) == (stage is not corpus_pipeline.near_copies) and len(got) <= 2 * len(rows)
         assert corpus_pipeline.STAGES[4][1](spark, out, "").count() >= len(got)
         assert stage(spark, docs.limit(0), "").count() == 0
     assert corpus_pipeline.STAGES[0][1](spark, docs, "").columns == docs.columns
