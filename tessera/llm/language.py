@@ -62,7 +62,9 @@ def letters(text: str) -> bytes:
     return re.sub(r"[\W\d_]+", " ", text.lower()).encode()
 
 
-def _predictor(dictionaries: dict[str, bytes]):
+def _predictor(dictionaries: dict[str, bytes], answer):
+    """Batches, of which the last column is the text, as what answer makes of them and of the predictions (language, score, margin)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import math
 
@@ -89,23 +91,20 @@ def _predictor(dictionaries: dict[str, bytes]):
             return langs[best], 1 / sum(math.exp(-HEAT * min(s - least, 2000)) for s in sizes), margin
 
         for batch in batches:
-            found = [predict(x.as_py()) for x in batch.column(1).cast(pa.large_binary())]
-            rest = [batch.column(i) for i in range(2, batch.num_columns)]
-            names = ["doc_id", "text", *batch.schema.names[2:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *rest, pa.array([x[0] for x in found], pa.string()), *[pa.array([x[i] for x in found], pa.float64()) for i in (1, 2)]], [*names, "lang_pred", "score", "margin"])
+            found = [predict(x.as_py()) for x in batch.column(batch.num_columns - 1).cast(pa.large_binary())]
+            yield answer(batch, found)
 
     return run
 
 
-def _scorer(dictionaries: dict[str, bytes]):
-    """As _predictor, but of the row only doc_id goes back, and no margin."""
-    inner = _predictor(dictionaries)
+def _predictions(batch: pa.RecordBatch, found: list[tuple[str, float, float]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in inner(batches):
-            yield out.select(["doc_id", "lang_pred", "score"])
 
-    return run
+def _rejected(batch: pa.RecordBatch, found: list[tuple[str, float, float]]) -> pa.RecordBatch:
+    """The keys of rows whose prediction is rejected."""
+    gone = pa.array([lang == UNKNOWN or score < MIN_SCORE or margin < MARGIN for lang, score, margin in found], pa.bool_())
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["__f", "__i"]).filter(gone)
 
 
 def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
@@ -116,20 +115,18 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFr
     """
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_scorer(dictionaries), "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(_predictor(dictionaries, _predictions), "doc_id long, lang_pred string, score double")
 
 
 def accepted_documents(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """The rows of docs (doc_id, text and further columns) whose prediction is not rejected, unchanged; repeated rows as often. A tie is
     a narrow margin."""
     common.small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    inner = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
-    types = dict(inner.dtypes)
-    out = inner.mapInArrow(_predictor(dictionaries), ", ".join(f"{c} {types[c]}" for c in inner.columns) + ", lang_pred string, score double, margin double")
-    out = out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE) & (F.col("margin") >= MARGIN))
-    names = {c: f"c{i}" for i, c in enumerate(others)} | {"doc_id": "doc_id", "text": "text"}
-    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns])
+    scratch = common.Scratch(docs.sparkSession, "language")
+    rows, back = common.renamed(docs, ("doc_id", "text"))
+    rows = common.keyed(rows, scratch)
+    gone = rows.select("__f", "__i", F.col("text").cast("string").alias("text")).mapInArrow(_predictor(dictionaries, _rejected), "__f long, __i long")
+    return common.without(rows, gone, scratch).select(*back)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token ids of whole texts, word by word: shared by the packing operators.
 
 The tokenizer's white space is never part of a token, so the ids of a text are those of its words end to
-end. Texts are taken in chunks: each distinct word of a chunk is encoded once, and a gather puts the ids in order.
+end. Texts are taken in chunks: each distinct word of a chunk is encoded once, unless its ids are still known from the chunks before, and a gather
+puts the ids in order.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 14_000_000
+CHUNK = 6_000_000
+#: Words whose ids are kept for the next chunks.
+KEPT = 400_000
 #: Words whose ids are put in order at once.
 GATHERED = 200_000
 #: Words that are encoded in one call.
@@ -35,6 +38,7 @@ class WordIds:
         self._encode, self._many, self._many_plain = tokenizer.encode, tokenizer.encode_batch_fast, plain.encode_batch_fast
         self.vocab = tokenizer.get_vocab
         self._ends = np.zeros(max(self.vocab().values()) + 1, bool)
+        self._known = pa.array([], pa.large_string()), np.empty(0, "<u4"), np.empty(0, np.int64)
         self._ends[[i for piece, i in self.vocab().items() if piece.endswith("</w>")]] = True
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,13 +73,30 @@ class WordIds:
         order = np.concatenate([np.flatnonzero(x) for x in (is_plain, is_alpha, own)])
         return _gather(np.concatenate([x[0] for x in kinds]), np.concatenate([x[1] for x in kinds]), np.argsort(order))
 
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids and counts of all words that are known, end to end, and the place of each of words among them."""
+        known, ids, counts = self._known
+        at = pc.index_in(words, known)
+        new = words.filter(pc.is_null(at))
+        more_ids, more_counts = self._encoded(new)
+        place = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        place[place < 0] = len(known) + np.arange(len(new))
+        ids, counts = np.concatenate([ids, more_ids]), np.concatenate([counts, more_counts])
+        if len(known) + len(new) <= KEPT:
+            self._known = pa.concat_arrays([known, new]), ids, counts
+        else:
+            self._known = words, *_gather(ids, counts, place)
+            if len(words) > KEPT:
+                self._known = words.slice(0, KEPT), self._known[1][: self._known[2][:KEPT].sum()], self._known[2][:KEPT]
+        return ids, counts, place
+
     def all_ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, with the end id; null is an empty text."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         coded, words = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
         del lists  # as large as the texts and more
-        ids, counts = self._encoded(coded.dictionary)
-        index = coded.indices.to_numpy()
+        ids, counts, place = self._looked_up(coded.dictionary)
+        index = place[coded.indices.to_numpy()]
         ends = np.cumsum(words)
         for at, to in _chunks(words, GATHERED):
             flat, n = _gather(ids, counts, index[ends[at] - words[at] : ends[to - 1]])
@@ -93,6 +114,7 @@ class WordIds:
                 part = rows.slice(at, to - at)
                 texts = part.column(1).combine_chunks()
                 yield from zip(part.column(0).to_pylist(), self.all_ids(texts), strict=True)
+                pa.default_memory_pool().release_unused()
 
         for batch in batches:
             if batch.num_rows:
