@@ -14,7 +14,7 @@ import tessera.llm
 from tessera.sources.shared import Scratch
 from tessera.sources.tables import table
 
-__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "SPACE", "Scratch", "bounded", "components", "hot_join", "keyed", "renamed", "runs", "small_batches", "table", "without"]
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "SPACE", "Scratch", "bounded", "components", "gives_back", "hot_join", "keyed", "renamed", "runs", "small_batches", "table", "without"]
 
 #: Functions that run on executors travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(tessera.llm)
@@ -37,6 +37,24 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def gives_back(run):
+    """run, a function of batches, that returns free memory to the system when it ends: the worker lives on and serves other operators, whose
+    tasks need room, too."""
+
+    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+        import gc
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+        if trim:
+            trim(0)
+
+    return all_
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df marked for broadcast if its counted rows stay below BROADCAST_ROWS; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

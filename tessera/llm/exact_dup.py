@@ -138,13 +138,13 @@ def marked(rows: DataFrame, scratch: common.Scratch) -> DataFrame:
     docs = rows.select("__f", "__i", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     count = docs.count()
     owners, bits = max(1, -(-count // OWNER_ROWS)), min(64, max(1, count).bit_length() + SPARE)
-    blocks = scratch.write(docs.mapInArrow(_blocks(owners, bits), _BLOCK), "blocks")
+    blocks = scratch.write(docs.mapInArrow(common.gives_back(_blocks(owners, bits)), _BLOCK), "blocks")
 
     sent = blocks.select("block", F.explode("lists").alias("x")).select("block", "x.*")
     answers = sent.groupBy("owner").applyInArrow(_own, "block long, first int, n int, bitmap binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("first", "n", "bitmap")).alias("answers"))
     home = blocks.drop("lists").join(answers, "block")
-    found = scratch.write(home.select("n", "rows", "shas", "nulls", "slots", "twice", "answers").mapInArrow(_answered, _DOCS), "rows")
+    found = scratch.write(home.select("n", "rows", "shas", "nulls", "slots", "twice", "answers").mapInArrow(common.gives_back(_answered), _DOCS), "rows")
     scratch.drop("blocks")
 
     some = scratch.write(found.where("suspect").select("__f", "__i"), "suspects")

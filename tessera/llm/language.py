@@ -115,7 +115,7 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFr
     """
     common.small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_predictor(dictionaries, _predictions), "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(common.gives_back(_predictor(dictionaries, _predictions)), "doc_id long, lang_pred string, score double")
 
 
 def accepted_documents(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
@@ -125,7 +125,7 @@ def accepted_documents(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataF
     scratch = common.Scratch(docs.sparkSession, "language")
     rows, back = common.renamed(docs, ("doc_id", "text"))
     rows = common.keyed(rows, scratch)
-    gone = rows.select("__f", "__i", F.col("text").cast("string").alias("text")).mapInArrow(_predictor(dictionaries, _rejected), "__f long, __i long")
+    gone = rows.select("__f", "__i", F.col("text").cast("string").alias("text")).mapInArrow(common.gives_back(_predictor(dictionaries, _rejected)), "__f long, __i long")
     return common.without(rows, gone, scratch).select(*back)
 
 

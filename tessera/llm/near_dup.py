@@ -43,11 +43,11 @@ MAX_BITS = 64
 #: Members on either side of a block of comparisons by bits, and hashes of the sets on either side of one by sets.
 BIT_ROWS, SET_HASHES = 4096, 2_000_000
 #: Pairs of one block that are compared at once.
-PAIRS = 500_000
+PAIRS = 100_000
 #: Hashes that are sketched at once.
 CHUNK = 400_000
 _MAX = np.uint64(2**64 - 1)
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -248,7 +248,7 @@ def marked(rows: DataFrame, scratch: common.Scratch, width: int = 5, percent: in
     """The columns of near_duplicates for rows with keys (__f, __i, doc_id, text), with the keys, and `stays`, true for one row of each component."""
     common.small_batches(rows.sparkSession, 256)
     docs = rows.select("__f", "__i", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    all_ = scratch.write(docs.mapInArrow(_sketcher(width), _SKETCHED).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    all_ = scratch.write(docs.mapInArrow(common.gives_back(_sketcher(width)), _SKETCHED).withColumn("row", F.monotonically_increasing_id()), "sketches")
     full = all_.where("n > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     classes = scratch.write(full.groupBy("s0", "s1").agg(F.min("row").alias("rep"), F.count("*").alias("size"), first), "classes")
@@ -259,7 +259,7 @@ def marked(rows: DataFrame, scratch: common.Scratch, width: int = 5, percent: in
         """rep and hashes, made from the texts again."""
         keys = scratch.write(one.join(ids, "rep", "left_semi").select("rep", "__f", "__i"), "wanted")
         some = docs.join(common.bounded(keys, keys.count()), ["__f", "__i"])
-        return some.select("rep", "text").mapInArrow(_setter(width), "rep long, hashes binary")
+        return some.select("rep", "text").mapInArrow(common.gives_back(_setter(width)), "rep long, hashes binary")
 
     buckets = one.select("rep", F.explode("bands").alias("key"))
     pivots = buckets.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1")
@@ -299,7 +299,7 @@ def _star_links(star: DataFrame, sets_of, count: int, percent: int, scratch: com
     own = sizes.select("a").join(hot, "a", "left").join(sets.withColumnRenamed("rep", "a"), "a")
     own = own.select("a", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "hashes")
     both = told.union(own).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return both.mapInArrow(_star_checker(percent), "a long, b long")
+    return both.mapInArrow(common.gives_back(_star_checker(percent)), "a long, b long")
 
 
 def _blocks(each: DataFrame, rows: Column, queries: Column, carry: list[str]) -> DataFrame:
@@ -320,7 +320,7 @@ def _between(found: DataFrame, one: DataFrame, sets_of, count: int, percent: int
     traits = one.select("rep", "n", "b0", "b1", "b2", "b3", "bands")
     open_ = scratch.write(open_.join(traits, "rep"), "open")
     blocks = _blocks(open_, F.ceil(F.col("all") / BIT_ROWS), F.ceil((F.col("all") - F.col("most")) / BIT_ROWS), [])
-    left = scratch.write(blocks.mapInArrow(_bit_checker(percent), "key long, rep long").distinct(), "left")
+    left = scratch.write(blocks.mapInArrow(common.gives_back(_bit_checker(percent)), "key long, rep long").distinct(), "left")
 
     each = scratch.write(open_.join(left, ["key", "rep"]).drop("all", "most"), "each")
     scratch.drop("open", "left")
@@ -328,7 +328,7 @@ def _between(found: DataFrame, one: DataFrame, sets_of, count: int, percent: int
     sets = scratch.write(sets_of(each.select("rep").distinct()), "open-sets")
     each = common.hot_join(each, sums.drop("members"), ["key"], sums.select("key", F.col("members").alias("n")), BANDS * count, F.col("rep")).join(sets, "rep")
     blocks = _blocks(each, F.ceil(F.col("all") / SET_HASHES), F.ceil(F.col("asked") / SET_HASHES), ["hashes"])
-    out = scratch.write(blocks.mapInArrow(_set_checker(percent), "a long, b long").distinct(), "more")
+    out = scratch.write(blocks.mapInArrow(common.gives_back(_set_checker(percent)), "a long, b long").distinct(), "more")
     scratch.drop("open-sets", "each", "sizes")
     return out
 

@@ -125,7 +125,7 @@ def pack_in_order(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     common.small_batches(docs.sparkSession, 256)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_packer(path or tokens.default_path()), _PIECES)
+    return docs.mapInArrow(common.gives_back(_packer(path or tokens.default_path())), _PIECES)
 
 
 def op6_pack_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:

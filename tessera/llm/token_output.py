@@ -128,7 +128,7 @@ def packed_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     common.small_batches(docs.sparkSession, 256)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_packer(path or tokens.default_path()), _SEQUENCES)
+    return docs.mapInArrow(common.gives_back(_packer(path or tokens.default_path())), _SEQUENCES)
 
 
 def write_packed(docs: DataFrame, where: str, path: str | None = None) -> None:

@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 6_000_000
+CHUNK = 4_000_000
 #: Words whose ids are kept for the next chunks.
-KEPT = 400_000
+KEPT = 200_000
 #: Words whose ids are put in order at once.
 GATHERED = 200_000
 #: Words that are encoded in one call.
