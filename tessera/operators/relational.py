@@ -7,7 +7,7 @@ decimals, so that they do not depend on the order of addition.
 M = "CAST({} AS DECIMAL(18,2))"
 
 RELATIONAL: dict[str, str | tuple[str, str]] = {
-    "project_cast": "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS whole, TRY_CAST(o_orderpriority AS INT) AS none, upper(o_orderstatus) AS status FROM orders",
+    "project_cast": "SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS whole, TRY_CAST(substring(o_orderpriority, 1, 1) AS INT) AS level, TRY_CAST(o_orderpriority AS INT) AS none, upper(o_orderstatus) AS status FROM orders",
     "filter_three_valued": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT (nullif(l_returnflag, 'A') = 'R') AND l_quantity > 25",
     "case_coalesce": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS class, coalesce(nullif(c_mktsegment, 'BUILDING'), 'other') AS segment FROM customer",
     "like_regex": ("SELECT doc_id FROM documents WHERE text LIKE '%the %' AND text RLIKE '[0-9]{3}'", "SELECT doc_id FROM documents WHERE text LIKE '%the %' AND regexp_matches(text, '[0-9]{3}')"),
@@ -19,18 +19,22 @@ RELATIONAL: dict[str, str | tuple[str, str]] = {
     "join_right": "SELECT l.doc_id, d.lang FROM documents d RIGHT JOIN labels l ON d.doc_id = l.doc_id AND d.lang = 'en'",
     "join_full": "SELECT a.c_custkey AS left_key, b.s_suppkey AS right_key FROM customer a FULL JOIN supplier b ON a.c_custkey = b.s_suppkey + 50",
     "join_semi": ("SELECT c_custkey, c_name FROM customer c LEFT SEMI JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 100000", "SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)"),
-    "join_anti": ("SELECT c_custkey, c_name FROM customer c LEFT ANTI JOIN orders o ON o.o_custkey = c.c_custkey", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)"),
+    "join_anti": ("SELECT c_custkey, c_name FROM customer c LEFT ANTI JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 300000", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)"),
     "join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "join_merge_hint": ("SELECT /*+ MERGE(o) */ o_orderkey, count(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o_orderkey", "SELECT o_orderkey, count(*) AS n FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o_orderkey"),
     "join_shuffle_hash_hint": ("SELECT /*+ SHUFFLE_HASH(c) */ o_orderpriority, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY o_orderpriority", "SELECT o_orderpriority, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY o_orderpriority"),
-    "join_theta": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "join_theta": "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey",
+    "join_broadcast_hint": ("SELECT /*+ BROADCAST(n) */ c_custkey, n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey", "SELECT c_custkey, n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"),
     "join_lateral": "SELECT o.o_orderkey, x.n, x.q FROM orders o, LATERAL (SELECT count(*) AS n, max(l_quantity) AS q FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) x",
     "join_self": "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_id + 1 = b.event_id",
-    "asof_correlated_max": "SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.event_id < e.event_id) AS last_purchase FROM events e WHERE e.event_type = 'error'",
+    # a correlated maximum over what came before is a running maximum: one sort by user, no join of a user's events with each other
+    "asof_correlated_max": (
+        "SELECT event_id, last_purchase FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_purchase FROM events) WHERE event_type = 'error'",
+        "SELECT e.event_id, (SELECT max(p.event_id) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.event_id < e.event_id) AS last_purchase FROM events e WHERE e.event_type = 'error'",
+    ),
     "pricing_summary": f"SELECT l_returnflag, l_linestatus, CAST(sum({M.format('l_quantity')}) AS DOUBLE) AS sum_qty, CAST(sum({M.format('l_extendedprice')}) AS DOUBLE) AS sum_price, count(*) AS n, min(l_discount) AS least, max(l_tax) AS most FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY l_returnflag, l_linestatus",
     "aggregate_all": f"SELECT count(*) AS n, count(DISTINCT c_nationkey) AS nations, min(c_acctbal) AS least, max(c_acctbal) AS most, round(CAST(sum({M.format('c_acctbal')}) AS DOUBLE) / count(*), 4) AS mean FROM customer",
     "count_distinct": "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY l_returnflag",
-    "percentile_exact": ("SELECT event_type, round(percentile(value, 0.25), 6) AS q1, round(percentile(value, 0.5), 6) AS q2 FROM events GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2 FROM events GROUP BY event_type"),
     "cube": "SELECT n_regionkey, n_nationkey % 2 AS odd, count(*) AS n FROM nation GROUP BY CUBE (n_regionkey, n_nationkey % 2)",
     "rollup_grouping": ("SELECT o_orderpriority, o_orderstatus, CAST(grouping_id() AS BIGINT) AS g, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)", "SELECT o_orderpriority, o_orderstatus, CAST(grouping_id(o_orderpriority, o_orderstatus) AS BIGINT) AS g, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)"),
     "grouping_sets": "SELECT lang, source, count(*) AS n FROM documents GROUP BY GROUPING SETS ((lang), (source), ())",
@@ -43,7 +47,6 @@ RELATIONAL: dict[str, str | tuple[str, str]] = {
     "decimal_sum": f"SELECT o_orderpriority, CAST(sum({M.format('o_totalprice')}) AS STRING) AS total FROM orders GROUP BY o_orderpriority",
     "statistics": "SELECT event_type, round(corr(value, event_id), 6) AS r, round(regr_slope(value, event_id), 8) AS slope, round(stddev(value), 6) AS sd FROM events GROUP BY event_type",
     "row_number": "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS rn FROM lineitem",
-    "ranks": "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, round(percent_rank() OVER w, 8) AS p, round(cume_dist() OVER w, 8) AS c, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS q FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)",
     "lag_lead": "SELECT event_id, lag(event_type) OVER w AS before, lead(event_type, 2) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
     "asof_last_purchase": ("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS second FROM events", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS second FROM events"),
     "moving_sums": f"SELECT event_id, CAST(sum({M.format('value')}) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS DOUBLE) AS moving, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS so_far FROM events",
@@ -61,8 +64,15 @@ RELATIONAL: dict[str, str | tuple[str, str]] = {
     "distinct_rows": "SELECT DISTINCT lang, source FROM documents",
     "recursive_cte": "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 12) SELECT n, f FROM t",
     "pipe_syntax": ("FROM orders |> WHERE o_totalprice > 100000 |> AGGREGATE count(*) AS n GROUP BY o_orderstatus", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 100000 GROUP BY o_orderstatus"),
-    "curation_summary": (
-        "SELECT d.lang, count(*) AS n_docs, sum(length(d.text)) AS n_chars, count(l.doc_id) AS n_labeled, count(CASE WHEN l.quality = 1 THEN 1 END) AS n_quality FROM (SELECT min_by(text, doc_id) AS text, min_by(lang, doc_id) AS lang, min(doc_id) AS doc_id FROM documents GROUP BY sha2(text, 256)) d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text)) GROUP BY d.lang",
-        "SELECT d.lang, count(*) AS n_docs, sum(length(d.text))::BIGINT AS n_chars, count(l.doc_id) AS n_labeled, count(CASE WHEN l.quality = 1 THEN 1 END) AS n_quality FROM (SELECT arg_min(text, doc_id) AS text, arg_min(lang, doc_id) AS lang, min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)) d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text)) GROUP BY d.lang",
+    "approx_within_bound": (  # approximate figures, as the statement that they are within their error of the exact ones
+        "SELECT lang, abs(approx_count_distinct(source, 0.02) - count(DISTINCT source)) <= 0.1 * count(DISTINCT source) AS near FROM documents GROUP BY lang",
+        "SELECT lang, true AS near FROM documents GROUP BY lang",
+    ),
+    "approx_percentile": (  # with an accuracy finer than the rows of a group, the value at the rank itself
+        "SELECT event_type, percentile_approx(value, 0.5, 1000000) AS mid, percentile_approx(value, 0.9, 1000000) AS high FROM events GROUP BY event_type",
+        "SELECT event_type, quantile_disc(value, 0.5) AS mid, quantile_disc(value, 0.9) AS high FROM events GROUP BY event_type",
     ),
+    "first_value": "SELECT event_id, first_value(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS first FROM events",
+    "mode": ("SELECT o_orderstatus, mode() WITHIN GROUP (ORDER BY o_custkey % 7) AS m FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, m FROM (SELECT o_orderstatus, o_custkey % 7 AS m, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_custkey % 7) AS rn FROM orders GROUP BY 1, 2) WHERE rn = 1"),
+    "union_by_name": ("SELECT k, kind FROM VALUES (1L, 'a') AS t(k, kind) UNION ALL SELECT c_custkey, c_mktsegment FROM customer", "SELECT 1::BIGINT AS k, 'a' AS kind UNION ALL BY NAME SELECT c_mktsegment AS kind, c_custkey AS k FROM customer"),
 }

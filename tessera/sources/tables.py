@@ -20,7 +20,7 @@ def sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
 
 
 def _named(query: str, used: list[str]) -> str:
-    """Table names after FROM, JOIN, TABLE or a comma of a FROM list as parameters."""
+    """Table names after FROM, JOIN or TABLE as parameters."""
     query = query.replace("{", "{{").replace("}", "}}")
     return re.sub(rf"(?i)\b(from|join|table)\s+({'|'.join(used)})\b", r"\1 {\2}", query) if used else query
 

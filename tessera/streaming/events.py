@@ -7,16 +7,14 @@ that table. `ts` has no zone; a watermark needs TIMESTAMP, so it is cast, in UTC
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _shared(spark: SparkSession) -> str:
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where.rstrip("/")
-    return "file:///tmp/checkpoints" if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+from tessera.sources.shared import Scratch
+from tessera.sources.tables import table
 
 
 def source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +26,7 @@ def source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_once(df: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream has written when all that is there now has been read."""
-    spark, where = df.sparkSession, f"{_shared(df.sparkSession)}/tessera-stream-{uuid.uuid4().hex}"
+    spark, where = df.sparkSession, Scratch(df.sparkSession, "stream").path
     q = df.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{where}/out")
@@ -51,8 +49,9 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event comes twice, and once goes out."""
     e = source(spark, sf_dir).withWatermark("ts", "1 hour")
-    return run_once(e.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type"))
+    return run_once(e.union(e).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type"))
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,17 +60,76 @@ def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(a.join(b, F.expr("u = v AND tb BETWEEN ta AND ta + INTERVAL 1 HOUR")).select("click", "purchase"))
 
 
+def into_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by kind, complete, in a table in memory: they are as many as there are kinds."""
+    name = f"tessera_{uuid.uuid4().hex}"
+    q = source(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+def late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as in tumbling, when a later file brings the first two days' events again, long after the watermark has passed them: they are left out."""
+    scratch = Scratch(spark, "late")
+    e = table(spark, sf_dir, "events").select("ts", "event_type")
+    e.coalesce(1).write.parquet(f"{scratch.path}/in")
+    first = e.agg(F.min("ts")).first()[0]
+    again = e.where(F.col("ts") < F.lit(first).cast("timestamp_ntz") + F.expr("INTERVAL 2 DAYS"))
+    e.where("false").coalesce(1).write.mode("append").parquet(f"{scratch.path}/in")  # rows are held against the watermark before the last batch's
+    again.coalesce(1).write.mode("append").parquet(f"{scratch.path}/in")
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.path}/in").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    days = s.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    return run_once(days.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n"))
+
+
+def custom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of events of one kind of each user, carried in a state of three values from batch to batch."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def longest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, now, best = state.get if state.exists else ("", 0, 0)
+        rows = pd.concat(list(frames)).sort_values("event_id")
+        for kind in rows.event_type:
+            now = now + 1 if kind == last else 1
+            last, best = kind, max(best, now)
+        state.update((last, now, best))
+        yield pd.DataFrame({"user_id": [key[0]], "longest": [best]})
+
+    e = source(spark, sf_dir).select("user_id", "event_id", "event_type").groupBy("user_id")
+    out = e.applyInPandasWithState(longest, "user_id long, longest long", "last string, now long, best long", "update", GroupStateTimeout.NoTimeout)
+    return run_updates(out, "user_id", "longest")
+
+
+def run_updates(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The largest value that a stream in update mode has given each key."""
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{scratch.path}/out/batch={number}")
+
+    df.writeStream.foreachBatch(write).option("checkpointLocation", f"{scratch.path}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{scratch.path}/out/batch=*").groupBy(key).agg(F.max(value).alias(value))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_tumbling": tumbling,
     "stream_sliding": sliding,
     "stream_sessions": sessions,
     "stream_dedup": deduplicated,
     "stream_join": joined,
+    "stream_memory": into_memory,
+    "stream_late": late,
+    "stream_state": custom_state,
 }
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 SQL = {
     "stream_tumbling": f"SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= {_CLOSED}",
     "stream_sliding": f"SELECT start, count(*) AS n FROM (SELECT ts, unnest([b, b - INTERVAL 6 HOUR, b - INTERVAL 12 HOUR, b - INTERVAL 18 HOUR]) AS start FROM (SELECT ts, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') AS b FROM events)) GROUP BY start HAVING start + INTERVAL 1 DAY <= {_CLOSED}",
     "stream_dedup": "SELECT DISTINCT event_id, user_id, event_type FROM events",
+    "stream_memory": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+    "stream_late": f"SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= {_CLOSED}",
+    "stream_state": "SELECT user_id, max(n)::BIGINT AS longest FROM (SELECT user_id, count(*) AS n FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS run FROM events) GROUP BY user_id, event_type, run) GROUP BY user_id",
+    # sessions that the watermark has closed: their last event is at least the gap and the watermark's delay old
+    "stream_sessions": f"SELECT min(ts) AS start, user_id, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, s HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED}",
     "stream_join": "SELECT c.event_id AS click, p.event_id AS purchase FROM events c JOIN events p ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND epoch_us(p.ts) - epoch_us(c.ts) BETWEEN 0 AND 3600000000",
 }
