@@ -41,7 +41,7 @@ BANDS = T // ROWS
 #: Most differing bits of 256; a pair at 0.8 differs in 25.6 with a deviation of 5.8.
 MAX_BITS = 64
 #: Members on either side of a block of comparisons by bits, and hashes of the sets on either side of one by sets.
-BIT_ROWS, SET_HASHES = 4096, 2_000_000
+BIT_ROWS, SET_HASHES = 2048, 2_000_000
 #: Pairs of one block that are compared at once.
 PAIRS = 100_000
 #: Hashes that are sketched at once.
