@@ -40,8 +40,9 @@ T, ROWS = 128, 4
 BANDS = T // ROWS
 #: Most differing bits of 256; a pair at 0.8 differs in 25.6 with a deviation of 5.8.
 MAX_BITS = 64
-#: Members on either side of a block of comparisons by bits, and hashes of the sets on either side of one by sets.
-BIT_ROWS, SET_HASHES = 2048, 2_000_000
+#: Members on either side of a block of comparisons by bits: at least, and at most; between the two, a 256th of the bucket, so that a row is copied
+#: 256 times at most in buckets of up to 8 million members. Hashes of the sets on either side of a block of comparisons by sets.
+BIT_ROWS, MOST_BIT_ROWS, SET_HASHES = 1024, 32_768, 2_000_000
 #: Pairs of one block that are compared at once.
 PAIRS = 100_000
 #: Hashes that are sketched at once.
@@ -319,7 +320,8 @@ def _between(found: DataFrame, one: DataFrame, sets_of, count: int, percent: int
     open_ = open_.select("key", "rep", "c", (F.col("c") != F.col("main")).alias("minor"), "all", "most")
     traits = one.select("rep", "n", "b0", "b1", "b2", "b3", "bands")
     open_ = scratch.write(open_.join(traits, "rep"), "open")
-    blocks = _blocks(open_, F.ceil(F.col("all") / BIT_ROWS), F.ceil((F.col("all") - F.col("most")) / BIT_ROWS), [])
+    side = F.least(F.greatest(F.col("all") / 256, F.lit(BIT_ROWS)), F.lit(MOST_BIT_ROWS))
+    blocks = _blocks(open_, F.ceil(F.col("all") / side), F.ceil((F.col("all") - F.col("most")) / side), [])
     left = scratch.write(blocks.mapInArrow(common.gives_back(_bit_checker(percent)), "key long, rep long").distinct(), "left")
 
     each = scratch.write(open_.join(left, ["key", "rep"]).drop("all", "most"), "each")
