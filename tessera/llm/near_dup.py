@@ -15,9 +15,9 @@ Plan
    the bucket. A pivot with many members is dealt over several tasks, each of which gets its set once. Links give first components.
 3. In buckets that still hold several components, members outside the bucket's largest component are compared with all members of
    other components, in blocks inside tasks: first sizes and two-bit sketches only, of which no pair leaves the task, just the
-   names of members that have a partner left; then these members' sets, in blocks of SET_HASHES hashes a side, which give links.
+   names of members that have a partner left; then these members' sets, in blocks of a bounded number of hashes a side, which give links.
    A pair that shares several buckets is compared by sets in the first of them only. So no pairs are emitted, a large bucket is
-   spread over many tasks, and a set is copied once for every SET_HASHES hashes of its bucket's members that are left.
+   spread over many tasks, and a set is copied at most 256 times while the members left in its bucket have up to 10^9 hashes together.
 Pairs are verified on the full sets, which are made anew from the texts of the documents in pairs.
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^4)^32 = 5e-8, and fails the
@@ -41,8 +41,8 @@ BANDS = T // ROWS
 #: Most differing bits of 256; a pair at 0.8 differs in 25.6 with a deviation of 5.8.
 MAX_BITS = 64
 #: Members on either side of a block of comparisons by bits: at least, and at most; between the two, a 256th of the bucket, so that a row is copied
-#: 256 times at most in buckets of up to 8 million members. Hashes of the sets on either side of a block of comparisons by sets.
-BIT_ROWS, MOST_BIT_ROWS, SET_HASHES = 1024, 32_768, 2_000_000
+#: 256 times at most in buckets of up to 8 million members. Likewise the hashes of the sets on either side of a block of comparisons by sets.
+BIT_ROWS, MOST_BIT_ROWS, SET_HASHES, MOST_SET_HASHES = 1024, 32_768, 250_000, 4_000_000
 #: Pairs of one block that are compared at once.
 PAIRS = 100_000
 #: Hashes that are sketched at once.
@@ -329,7 +329,8 @@ def _between(found: DataFrame, one: DataFrame, sets_of, count: int, percent: int
     sums = each.groupBy("key").agg(F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("minor"), F.col("n"))), F.lit(0)).alias("asked"), F.count("*").alias("members"))
     sets = scratch.write(sets_of(each.select("rep").distinct()), "open-sets")
     each = common.hot_join(each, sums.drop("members"), ["key"], sums.select("key", F.col("members").alias("n")), BANDS * count, F.col("rep")).join(sets, "rep")
-    blocks = _blocks(each, F.ceil(F.col("all") / SET_HASHES), F.ceil(F.col("asked") / SET_HASHES), ["hashes"])
+    side = F.least(F.greatest(F.col("all") / 256, F.lit(SET_HASHES)), F.lit(MOST_SET_HASHES))
+    blocks = _blocks(each, F.ceil(F.col("all") / side), F.ceil(F.col("asked") / side), ["hashes"])
     out = scratch.write(blocks.mapInArrow(common.gives_back(_set_checker(percent)), "a long, b long").distinct(), "more")
     scratch.drop("open-sets", "each", "sizes")
     return out
