@@ -90,6 +90,8 @@ def _may(x: Column) -> Column:
 
 
 _FOUND = "array<struct<s:bigint,e:bigint,m:string,left:array<string>,right:array<string>>>"
+#: Items of an array that are summed or searched one by one.
+BLOCK = 128
 _WS = "[\\x20\\x09-\\x0D]++"
 #: What of a candidate's end is no part of it.
 _TAIL = ".!?#*$%&|-"
@@ -101,8 +103,19 @@ def _words(x: Column, n: int) -> Column:
     return F.slice(F.filter(all_, lambda w: w != ""), 1, n)
 
 
+def _let(x: Column, of) -> Column:
+    """of(x), with x computed once."""
+    return F.get(F.transform(F.array(x), of), 0)
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("long"), lambda a, b: a + b)
+
+
 def matches(text: Column, pattern: str, needs: str) -> Column:
-    """Every match with its start, end, itself, and the words on either side: three before, nearest first, and two after."""
+    """Every match with its start, end, itself, and the words on either side: three before, nearest first, and two after.
+
+    A match starts at the sum of the lengths before it: those of whole blocks of matches, then those within its own."""
     m, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     parts = F.transform(
         F.arrays_zip(m.alias("m"), gaps.alias("g"), F.slice(gaps, 2, F.size(gaps)).alias("h")),
@@ -114,14 +127,21 @@ def matches(text: Column, pattern: str, needs: str) -> Column:
             F.when(x["m"].isNotNull(), _words(x["h"], 2)).alias("right"),
         ),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"CAST(array() AS {_FOUND})").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["skip"]
-        one = F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["m"].alias("m"), x["left"].alias("left"), x["right"].alias("right"))
-        return F.struct((s + x["n"]).alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], one)).alias("out"))
+    def placed(p: Column, lengths: Column, before: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            s = F.get(before, F.floor(i / BLOCK).cast("int")) + _sum(F.slice(lengths, i - i % BLOCK + 1, i % BLOCK)) + x["skip"]
+            return F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["m"].alias("m"), x["left"].alias("left"), x["right"].alias("right"))
+
+        return F.filter(F.transform(p, one), lambda x: x["m"].isNotNull())
 
-    return F.when(text.rlike(needs) & text.rlike(pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(F.expr(f"CAST(array() AS {_FOUND})"))
+    def blocks(p: Column, lengths: Column) -> Column:
+        totals = F.transform(F.sequence(F.lit(1), F.size(p), F.lit(BLOCK)), lambda at: _sum(F.slice(lengths, at, BLOCK)))
+        before = _let(totals, lambda t: F.transform(t, lambda _, k: _sum(F.slice(t, 1, k))))
+        return _let(before, lambda b: placed(p, lengths, b))
+
+    found = _let(parts, lambda p: _let(F.transform(p, lambda x: x["skip"] + x["n"]), lambda lengths: blocks(p, lengths)))
+    return F.when(text.rlike(needs) & text.rlike(pattern), found).otherwise(F.expr(f"CAST(array() AS {_FOUND})"))
 
 
 def _patterns(x: Column) -> Column:
@@ -181,6 +201,20 @@ def _by_kind(of) -> Column:
     return F.concat(*[F.transform(of(k), _span(k)) for k in KINDS])
 
 
+def _apart(some: Column, base: Column) -> Column:
+    """Those of some, in their order, that overlap none of base; base is searched once for each block of some."""
+
+    def meets(s: Column, e: Column):
+        return lambda b: (b["s"] < e) & (b["e"] > s)
+
+    def block(c: Column) -> Column:
+        near = F.filter(base, meets(F.get(c, 0)["s"], F.element_at(c, -1)["e"]))
+        return _let(near, lambda bs: F.filter(c, lambda x: ~F.exists(bs, meets(x["s"], x["e"]))))
+
+    at = F.transform(F.sequence(F.lit(1), F.size(some), F.lit(BLOCK)), lambda i: _let(F.slice(some, i, BLOCK), block))
+    return F.when((F.size(some) > 0) & (F.size(base) > 0), F.flatten(at)).otherwise(some)
+
+
 def found_by_pattern(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: rid, doc_id, counts, the base spans, and what is seen of seeds and candidates."""
     out = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
@@ -189,7 +223,7 @@ def found_by_pattern(docs: DataFrame) -> DataFrame:
     out = out.withColumn("__more", matches(text, CANDIDATE, "@|[0-9]"))
     out = out.withColumns({f"__{k}": F.filter(f"__all_{k}", _checked(k)) for k in KINDS})
     out = out.withColumn("base", _by_kind(lambda k: F.col(f"__{k}")))
-    free = F.filter("__more", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (b["e"] > c["s"])))
+    free = _apart(F.col("__more"), F.col("base"))
     seen = F.concat(*[F.transform(F.col(f"__{k}"), _sighting(i)) for i, k in enumerate(KINDS)], F.transform(free, _sighting(None)))
     counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("rid", "doc_id", *counts, "base", F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), seen.alias("seen"))

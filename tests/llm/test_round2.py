@@ -289,6 +289,20 @@ def test_identifiers_of_any_length(spark):
     assert got[22].n_added == 1 and got[23].n_added == 0  # "today" follows all, which alone says nothing
 
 
+@pytest.mark.parametrize("n", [127, 128, 129, 12_000])
+def test_text_of_many_matches(spark, n):
+    """Places of matches within and beyond a block, and candidates beside base spans."""
+    parts = [(f"é x{i} ", f"10.{i % 256}.0.{i % 200}" if i % 3 else f"a{i}@b.co", f" or 123-45-{i:06} end.\n") for i in range(n)]
+    at, base = 0, {"email": [], "ip": []}
+    for i, (a, m, b) in enumerate(parts):
+        kind = "ip" if i % 3 else "email"
+        base[kind].append(f"{kind}:{at + len(a)}:{at + len(a) + len(m)}")
+        at += len(a) + len(m) + len(b)
+    (r,) = private_data.found_by_pattern(spark.createDataFrame([(1, "".join(map("".join, parts)))], "doc_id long, text string")).withColumn("open", F.expr("size(filter(seen, x -> not x.base))")).drop("seen").collect()
+    assert (r.n_email, r.n_ip, r.open) == (len(base["email"]), len(base["ip"]), n)
+    assert r.base_sha256 == hashlib.sha256(",".join(base["email"] + base["ip"]).encode()).hexdigest()
+
+
 def test_scores_against_plain_rounds(spark):
     rnd = random.Random(3)
     seen = [(rnd.choice((None, None, 0, 1, 3)), rnd.choice((0, 1, 2, 3, 9, 11)), i % 45, [(p % 3, p) for p in rnd.sample(range(14), 3)]) for i in range(160)]
