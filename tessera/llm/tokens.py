@@ -7,14 +7,17 @@ puts the ids in order.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text in a chunk; a longer text is a chunk of its own.
+#: Bytes of text in a chunk; a longer text is taken in several, cut at white space.
 CHUNK = 4_000_000
+#: White space, between words.
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words whose ids are kept for the next chunks.
 KEPT = 200_000
 #: Words whose ids are put in order at once.
@@ -103,6 +106,16 @@ class WordIds:
             stops = np.concatenate([[0], np.cumsum(n)])[ends[at:to] - ends[at] + words[at]]
             yield from np.split(np.insert(flat, stops, END), (stops + np.arange(1, len(stops) + 1))[:-1])
 
+    def long_ids(self, text: pa.LargeStringScalar) -> np.ndarray:
+        """The ids of one text, with the end id, a chunk of words at a time."""
+        raw, at, ids = memoryview(text.as_buffer()), 0, []
+        while at < len(raw):
+            space = SPACE.search(raw, at + CHUNK)
+            to = space.end() if space else len(raw)
+            ids.extend(x[:-1] for x in self.all_ids(pa.array([bytes(raw[at:to])], pa.large_binary())))
+            at = to
+        return np.concatenate([*ids, np.array([END], "<u4")])
+
     def documents(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
         """doc_id and ids of every row of batches (doc_id, text), in their order."""
         held, size = [], 0
@@ -113,7 +126,8 @@ class WordIds:
             for at, to in _chunks(pc.fill_null(pc.binary_length(rows.column(1)), 0).to_numpy(), CHUNK):
                 part = rows.slice(at, to - at)
                 texts = part.column(1).combine_chunks()
-                yield from zip(part.column(0).to_pylist(), self.all_ids(texts), strict=True)
+                is_long = len(texts) == 1 and texts[0].is_valid and len(texts[0].as_buffer()) > CHUNK
+                yield from zip(part.column(0).to_pylist(), [self.long_ids(texts[0])] if is_long else self.all_ids(texts), strict=True)
                 pa.default_memory_pool().release_unused()
 
         for batch in batches:

@@ -115,6 +115,16 @@ def test_ids_are_those_of_the_tokenizer():
         assert ids.tolist() == [*tok.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+def test_long_texts_are_taken_in_parts(monkeypatch):
+    rng = random.Random(6)
+    texts = ["", None, "a", " \n", "x" * 300, *("".join(rng.choice(ODD) for _ in range(rng.randint(1, 400))) for _ in range(300))]
+    want = [x.tolist() for x in tokens.WordIds(tokens.default_path()).all_ids(pa.array(texts))]
+    monkeypatch.setattr(tokens, "CHUNK", 50)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = list(tokens.WordIds(tokens.default_path()).documents(iter([batch])))
+    assert [i for i, _ in got] == list(range(len(texts))) and [x.tolist() for _, x in got] == want
+
+
 def test_best_cuts_against_all_ways():
     rng = np.random.default_rng(1)
     for _ in range(30):
