@@ -20,8 +20,10 @@ Plan
    spread over many tasks, and a set is copied at most 256 times while the members left in its bucket have up to 10^9 hashes together.
 Pairs are verified on the full sets, which are made anew from the texts of the documents in pairs.
 
-A pair at the threshold shares no bucket with probability (1 - 0.8^4)^32 = 5e-8, and fails the
-comparison of bits, 6.5 standard deviations away, with about 1e-10. These are the only ways to lose a link; there is no cap.
+A pair at the threshold shares no bucket with probability (1 - 0.8^4)^32 = 5e-8. A pair of components that meet in a bucket only, and not at its
+pivot, is compared by bits before its sets are: at the threshold 25.6 of 256 bits differ with a deviation of 5.8, so MAX_BITS, 6.5 deviations away,
+is exceeded with a computed probability of about 1e-10 (in a test, 800 pairs of 400 shingles at 0.8 differ in 45 bits at most). There is
+no exact way round these two chances, which are the only ways to lose a link; there is no cap.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
+from tessera.llm.common import runs  # by name: what executors run must not hold the module, which names this package
 
 T, ROWS = 128, 4
 BANDS = T // ROWS
@@ -212,7 +215,7 @@ def _candidates(t: pa.Table, starts: np.ndarray, percent: int) -> Iterator[tuple
         r = np.arange(len(q)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(starts[which[rows]], m)
         may = (c[q] != c[r]) & (~minor[r] | (rep[r] > rep[q])) & (100 * n[r] >= percent * n[q]) & (100 * n[q] >= percent * n[r])
         q, r = q[may], r[may]
-        near = np.bitwise_count(bits[q] ^ bits[r]).sum(1) <= MAX_BITS
+        near = np.bitwise_count((bits[q] ^ bits[r]).view(np.uint64)).sum(1) <= MAX_BITS
         q, r = q[near], r[near]
         if len(q):
             same = bands[q] == bands[r]
@@ -225,7 +228,7 @@ def _bit_checker(percent: int):
     """(key, rep) of the members that have a partner left in the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in common.runs(batches, _BLOCK_KEYS):
+        for t, starts in runs(batches, _BLOCK_KEYS):
             has = np.zeros(len(t), bool)
             for q, r in _candidates(t, starts, percent):
                 has[q] = has[r] = True
@@ -236,7 +239,7 @@ def _bit_checker(percent: int):
 
 def _set_checker(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in common.runs(batches, _BLOCK_KEYS, 256):
+        for t, starts in runs(batches, _BLOCK_KEYS, 256):
             rep, sets, found = t["rep"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in t["hashes"]], []
             for q, r in _candidates(t, starts, percent):
                 found += [(rep[i], rep[j]) for i, j in zip(q.tolist(), r.tolist(), strict=True) if _alike(sets[i], sets[j], percent)]
@@ -277,7 +280,9 @@ def marked(rows: DataFrame, scratch: common.Scratch, width: int = 5, percent: in
     second = scratch.write(common.components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), scratch, "cc2"), "second")
     scratch.drop("members", "found", "more")
 
-    named = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("node", F.coalesce("root", "rep")).drop("root").join(second, "node", "left")
+    placed = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("node", F.coalesce("root", "rep")).drop("root")
+    placed = scratch.write(placed, "placed")
+    named = common.hot_join(placed, second, ["node"], placed.groupBy("node").agg(F.count("*").alias("n")), count, F.col("s0"), "left")
     named = scratch.write(named.select("s0", "s1", "size", "first", F.coalesce("root", "node").alias("root")), "named")
     best = F.min(F.struct("first.none", "first.doc_id", "s0", "s1", F.col("first.row").alias("row")))
     roots = named.groupBy("root").agg(best.alias("best"), F.count("*").alias("n"))
