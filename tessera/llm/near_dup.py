@@ -22,7 +22,7 @@ Pairs are verified on the full sets, which are made anew from the texts of the d
 
 A pair at the threshold shares no bucket with probability (1 - 0.8^4)^32 = 5e-8. A pair of components that meet in a bucket only, and not at its
 pivot, is compared by bits before its sets are: at the threshold 25.6 of 256 bits differ with a deviation of 5.8, so MAX_BITS, 6.5 deviations away,
-is exceeded with a computed probability of about 1e-10 (in a test, 800 pairs of 400 shingles at 0.8 differ in 45 bits at most). There is
+is exceeded with a computed probability of about 1e-10 (in a test, 800 pairs of 400 shingles at 0.8 differ in 44 bits at most). There is
 no exact way round these two chances, which are the only ways to lose a link; there is no cap.
 """
 

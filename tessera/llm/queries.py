@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dup, html_text, language, mixing, near_dup, packing, private_data, quality, token_count, token_output
+from tessera.llm import exact_dup, fill_middle, html_text, language, merkle, mixing, near_dup, packing, private_data, quality, suffix_tree, token_count, token_output
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dup.op1_minhash_near_dedup,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_golomb_exact_dedup": exact_dup.op8_golomb_exact_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_token_counts": token_count.op10_token_counts,
+    "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_suffix_tree_scores": suffix_tree.op13_suffix_tree_scores,
 }
 SQL = {
     "op1_minhash_near_dedup": near_dup.SQL,
     "op3_mix_sources": mixing.SQL,
     "op8_golomb_exact_dedup": exact_dup.SQL,
     "op9_quality_rules": quality.SQL,
+    "op11_fill_in_middle": fill_middle.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }

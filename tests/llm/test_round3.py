@@ -1,17 +1,20 @@
 """Borderline near copies, functions on executors without the package, and the operators of the third round against plain versions."""
 
-import base64
-import inspect
+import collections
+import hashlib
+import math
 import random
+import re
 import subprocess
 import sys
+import zlib
 
 import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dup, html_text, language, near_dup, tokens
+from tessera.llm import common, exact_dup, fill_middle, html_text, language, merkle, near_dup, packing, suffix_tree, token_count, token_output
 from tests.llm.test_operators import shingles
 from tests.llm.test_round2 import DOCS, WORDS, components_of, frame, prose
 
@@ -51,3 +54,188 @@ def test_bits_are_counted_unsigned():
     plain = [sum((int(a) ^ int(b)).bit_count() if (int(a) ^ int(b)) >= 0 else ((int(a) ^ int(b)) + 2**64).bit_count() for a, b in zip(p, q, strict=True)) for p, q in zip(bits[::2], bits[1::2], strict=True)]
     told = np.bitwise_count((bits[::2] ^ bits[1::2]).view(np.uint64)).sum(1)
     assert told.tolist() == plain and max(plain) <= near_dup.MAX_BITS - 10
+
+
+def test_functions_travel_without_the_package(tmp_path):
+    """What executors run is read in a process that cannot import the package."""
+    given = [near_dup._sketcher(5), near_dup._setter(5), near_dup._bit_checker(80), near_dup._set_checker(80), near_dup._star_checker(80), html_text._extract, language._predictor({"en": b"x"}, language._predictions), fill_middle._transformer(7, 100, 50)]
+    given += [merkle._up, merkle._down(True), suffix_tree._counter(None), suffix_tree._scorer(None), suffix_tree._asker(8), suffix_tree._owner(5), suffix_tree._adder]
+    for k, f in enumerate(given):
+        (tmp_path / str(k)).write_bytes(cloudpickle.dumps(common.gives_back(f)))
+    code = "import pickle,sys\nfor p in sys.argv[1:]: pickle.load(open(p,'rb'))\nassert 'tessera' not in sys.modules"
+    done = subprocess.run([sys.executable, "-c", code, *map(str, sorted(tmp_path.iterdir()))], cwd=tmp_path, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-600:]
+
+
+# fill in the middle
+
+
+def plain_fill(doc_id, text, percent=100, spm=50):
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    h = hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    pre, mid, suf = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= percent:
+        return len(units), "plain", None, None, text
+    if h4 % 100 < spm:
+        return len(units), "spm", len(pre), len(mid), f"<S>{suf}<P>{pre}<M>{mid}"
+    return len(units), "psm", len(pre), len(mid), f"<P>{pre}<S>{suf}<M>{mid}"
+
+
+ODD = [None, "", "\n", "\n\n\n", "one", "one\ntwo", "a\r\nb\u2028c\x85d\x0be\n\nf", "holds <P> a marker\nx", "<S", "<<\n>P>\n<", "\u00e9\u6f22\n" * 50, "x" * 300_000 + "\n" + "y\n" * 40_000]
+
+
+@pytest.mark.parametrize("percent", [100, 40])
+def test_fill_in_middle(spark, percent):
+    rows = [(i if i != 7 * len(ODD) else None, ODD[i % len(ODD)], 1, "x") for i in range(8 * len(ODD))] + [(3, "again\nand\nagain", 1, "x")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long, output string")
+    out = fill_middle.fill_in_middle(docs, percent=percent).withColumn("back", fill_middle.restored(F.col("output"), F.col("form"))).collect()
+    key = lambda r: tuple(x if x is not None else -1 for x in r)
+    assert sorted(((r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.output) for r in out), key=key) == sorted(((i, *plain_fill(i, t, percent)) for i, t, _, _ in rows), key=key)
+    assert collections.Counter(r.back for r in out) == collections.Counter(t or "" for _, t, _, _ in rows)
+    assert {r.form for r in out} == {"plain", "psm", "spm"}
+    assert fill_middle.fill_in_middle(docs.limit(0)).count() == 0
+
+
+# Merkle manifest
+
+
+def plain_tree(leaves):
+    """The root and, for each leaf, its levels of siblings before and behind."""
+    paths, at, nodes = [[] for _ in leaves], list(range(len(leaves))), leaves
+    while len(nodes) > 1:
+        cut = [nodes[k : k + 16] for k in range(0, len(nodes), 16)]
+        for i, p in enumerate(at):
+            paths[i].append(("".join(cut[p // 16][: p % 16]), "".join(cut[p // 16][p % 16 + 1 :])))
+        nodes, at = [hashlib.sha256("".join(c).encode()).hexdigest() for c in cut], [p // 16 for p in at]
+    return nodes[0], paths
+
+
+def plain_manifest(rows):
+    def leaf(*values):
+        return hashlib.sha256(b"".join(b"-" if v is None else b"%d:%s" % (len(str(v).encode()), str(v).encode()) for v in values)).hexdigest()
+
+    low = lambda t: t and re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], []).append((r[0], leaf(*r), leaf(*r[:4], low(r[4])) if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0 else None))
+    order = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    trees = []
+    for s in order:
+        by[s].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        trees.append(plain_tree([x[1] for x in by[s]]))
+    root, outer = plain_tree([t[0] for t in trees])
+    out = []
+    for s, (subroot, paths), above in zip(order, trees, outer, strict=True):
+        for (doc_id, own, forged), path in zip(by[s], paths, strict=True):
+            node = forged or own
+            for before, behind in path + above:
+                node = hashlib.sha256((before + node + behind).encode()).hexdigest()
+            proof = hashlib.sha256("".join(a + b for a, b in path + above).encode()).hexdigest()
+            out.append((doc_id, own, subroot, root, proof, node, node == root))
+    return out
+
+
+MERKLE = "doc_id long, source string, lang string, n_chars long, text string"
+KEY = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+
+
+@pytest.mark.parametrize("sizes", [(1,), (2,), (16,), (17, 1, 1), (300, 256, 257, 3), (4097,), (1,) * 40, (0,)])
+def test_manifest(spark, sizes):
+    rnd, rows = random.Random(len(sizes)), []
+    for k, n in enumerate(sizes):
+        for i in range(n):
+            rows.append((rnd.randrange(3 * n), None if not k else f"s\u00e9{k}" if k % 2 else f"S{k}", rnd.choice(["en", None]), rnd.choice([None, 7]), rnd.choice([None, "", "Ab", "ab", f"X{i}", "\u00c9\u00e9 ab"])))
+    rows += rows[:3] + [(None, *r[1:]) for r in rows[:2]]  # repeated rows, rows without doc_id
+    docs = spark.createDataFrame([(*r, 5, "x") for r in rows], MERKLE + ", pos long, digest string")
+    got = [tuple(r) for r in merkle.manifest(docs).collect()]
+    assert sorted(got, key=KEY) == sorted(plain_manifest(rows), key=KEY) if rows else got == []
+
+
+def test_manifest_in_several_rounds(spark, monkeypatch):
+    """Buckets of 16 nodes, so that a tree takes several rounds; sources joined as if they were too many to broadcast."""
+    monkeypatch.setattr(merkle, "LEVELS", 1)
+    monkeypatch.setattr(merkle, "BUCKET", 16)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rows = [(i, f"s{i % 40}" if i % 3 else None, "en", i, f"Text {i}") for i in range(900)]
+    got = [tuple(r) for r in merkle.manifest(spark.createDataFrame(rows, MERKLE)).collect()]
+    assert sorted(got) == sorted(plain_manifest(rows))
+
+
+# language model
+
+
+def plain_scores(rows, least, share):
+    """Of (doc_id, learns, text): n_tokens, n_known, N, base, score by dictionaries of token tuples."""
+    tokens = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + ["\n"] for _, _, t in rows]
+    learned = [t for (_, learns, _), t in zip(rows, tokens, strict=True) if learns]
+    c = collections.Counter(w for t in learned for w in t)
+    total, kinds = sum(c.values()), len(c)
+    bound = max(least, -(-total // share))
+    root = lambda w: (c[w] + 1) / (total + kinds + 1)
+    usual = {w for w in c if c[w] >= bound}
+    grams = collections.Counter()
+    for t in learned:
+        s = ["^", *t]
+        for i in range(1, len(s)):
+            for k in range(1, suffix_tree.DEPTH + 1):
+                if i - k >= 0 and all(x in usual or x == "^" for x in s[i - k : i + 1]):
+                    grams[tuple(s[i - k : i + 1])] += 1
+    grams = {g: n for g, n in grams.items() if n >= bound}
+    after = collections.defaultdict(dict)
+    for g, n in grams.items():
+        after[g[:-1]][g[-1]] = n
+    seen = lambda s: (len(learned) if s == ("^",) else c[s[0]]) if len(s) == 1 else grams[s]
+    p = {s: {w: n / (seen(s) + 1) for w, n in of.items()} for s, of in after.items()}
+    up = lambda s, w: p[s[1:]][w] if len(s) > 1 else root(w)
+    left = {s: ((1 - sum(of.values())), max(1 - sum(up(s, w) for w in of), 1e-12)) for s, of in p.items()}
+    kept = set()
+    for s, of in p.items():
+        gain = seen(s) * (sum(x * math.log(x / up(s, w)) for w, x in of.items()) + left[s][0] * math.log(left[s][0] / left[s][1]))
+        if gain > len(of) * math.log(max(seen(s), 2)) / 2:
+            kept |= {s[k:] for k in range(len(s))}
+
+    def share_of(s, w):
+        if not s:
+            return root(w)
+        if s not in kept:
+            return share_of(s[1:], w)
+        return p[s][w] if w in p[s] else left[s][0] / left[s][1] * share_of(s[1:], w)
+
+    out = []
+    for (i, _, _), t in zip(rows, tokens, strict=True):
+        s = ["^", *t]
+        score = sum(math.log10(share_of(tuple(s[max(0, k - suffix_tree.DEPTH) : k]), s[k])) for k in range(1, len(s)))
+        out.append((i, len(t), sum(w in c for w in t), total, sum(math.log10(root(w)) for w in t), score))
+    sums = [sum(share_of(s, w) for w in c) + share_of(s, "unknown word") for s in list(kept)[:20]]
+    return out, sums, len(kept), sum(len(s) == 2 for s in kept)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores(spark, monkeypatch, small):
+    if small:  # chunks of few tokens, texts in pieces, held windows sent early
+        for name, n in (("TOKENS", 300), ("PIECE", 40), ("HELD", 50), ("_WORDS_KEPT", 20)):
+            monkeypatch.setattr(suffix_tree, name, n)
+    rnd = random.Random(6)
+    phrases = [" ".join(rnd.choice(WORDS[:40]) for _ in range(5)) for _ in range(6)]
+    rows = [(i, i % 7 != 2, " ".join(rnd.choice([*phrases, rnd.choice(WORDS), f"Rare{rnd.randrange(400)}"]) for _ in range(rnd.randrange(1, 60)))) for i in range(120)]
+    rows += [(500, True, None), (501, True, ""), (502, False, " \n\x0b"), (3, True, rows[3][2]), (None, True, "phrase"), (503, False, "\u00c9\u6f22 " * 30)]
+    docs = spark.createDataFrame([(i, t, k, 1) for i, k, t in rows], "doc_id long, text string, learns boolean, chunk long").repartition(3)
+    got = suffix_tree.scores(docs, F.col("learns"), least=4, share=1 << 18).collect()
+    want, sums, kept, deep = plain_scores(rows, 4, 1 << 18)
+    assert kept > 10 and deep > 3 and all(abs(x - 1) < 1e-9 for x in sums)
+    key = lambda r: (r[0] is not None, r[0] or 0)
+    for r, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == w[:4]
+        assert r.base_score == pytest.approx(w[4], abs=1e-9) and r.score == pytest.approx(w[5], abs=1e-9)
+    held = [r for r in got if not r.learned and r.n_tokens > 10]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_scores_without_texts_to_learn(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in suffix_tree.scores(docs, F.lit(False)).collect()) == [(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]
+    assert suffix_tree.scores(docs.limit(0), F.lit(True)).count() == 0
