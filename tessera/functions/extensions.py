@@ -63,17 +63,52 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT s.s_suppkey, d.pos, d.digit FROM {s} s, LATERAL tessera_digits(s.s_suppkey) d", s=table(spark, sf_dir, "supplier"))
 
 
+def table_argument(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function over a table's partitions in their order: runs of events of one kind of a user on a day. Its rows are named after the columns that it is
+    given, which analyze sees before it is run; the run at hand is its state along a partition, and its last run goes out when the partition ends."""
+
+    class Runs:
+        def __init__(self):
+            self.key, self.kind, self.first, self.n = None, None, None, 0
+
+        @staticmethod
+        def analyze(rows, key, kind, at):
+            from pyspark.sql.functions import AnalyzeResult
+            from pyspark.sql.types import LongType, StructType
+
+            given = {f.name: f.dataType for f in rows.dataType.fields}
+            out = StructType().add("key", given[key.value]).add(kind.value, given[kind.value]).add("first", given[at.value]).add("n", LongType())
+            return AnalyzeResult(schema=out)
+
+        def eval(self, rows, key, kind, at):
+            if self.n and rows[kind] != self.kind:
+                yield self.key, self.kind, self.first, self.n
+                self.n = 0
+            if not self.n:
+                self.key, self.kind, self.first = rows[key], rows[kind], rows[at]
+            self.n += 1
+
+        def terminate(self):
+            if self.n:
+                yield self.key, self.kind, self.first, self.n
+
+    spark.udtf.register("tessera_runs", udtf(Runs))
+    query = "SELECT key AS user_id, event_type, first, n FROM tessera_runs(TABLE(SELECT user_id, event_type, event_id, to_date(ts) AS day FROM {e}) PARTITION BY (user_id, day) ORDER BY (event_id), 'user_id', 'event_type', 'event_id')"
+    return spark.sql(query, e=table(spark, sf_dir, "events"))
+
+
 def sql_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A function in SQL, which is inlined into the plan."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION tessera_net(price DOUBLE, discount DOUBLE) RETURNS DOUBLE RETURN round(price * (1 - discount), 2)")
     return spark.sql("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, tessera_net(l_extendedprice, l_discount) > 1000 AS large FROM {l}", l=table(spark, sf_dir, "lineitem"))
 
 
-QUERIES = {"udf_vectorised": vectorised, "udf_map_batches": map_batches, "udf_grouped": grouped, "udf_table": table_function, "udf_sql": sql_function}
+QUERIES = {"udf_vectorised": vectorised, "udf_map_batches": map_batches, "udf_grouped": grouped, "udf_table": table_function, "udf_table_argument": table_argument, "udf_sql": sql_function}
 SQL = {
     "udf_vectorised": "SELECT c_custkey, c_acctbal / 2 AS half FROM customer",
     "udf_map_batches": "SELECT vec_id, len(embedding)::INT AS n FROM embeddings",
     "udf_grouped": "SELECT p_brand, max(s)::BIGINT AS spread FROM (SELECT p_brand, max(p_size) - min(p_size) AS s FROM part GROUP BY p_brand, p_type) GROUP BY p_brand",
     "udf_table": "SELECT s_suppkey, pos::INT AS pos, CAST(substr(s_suppkey::VARCHAR, pos + 1, 1) AS INT) AS digit FROM (SELECT s_suppkey, unnest(range(length(s_suppkey::VARCHAR))) AS pos FROM supplier)",
+    "udf_table_argument": "SELECT user_id, event_type, min(event_id) AS first, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, ts::DATE, event_type ORDER BY event_id) AS run FROM events) GROUP BY user_id, ts::DATE, event_type, run",
     "udf_sql": "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount), 2) > 1000 AS large FROM lineitem",
 }

@@ -1,10 +1,8 @@
-"""Joins that need more than one built-in join: ranges in buckets, and nearest vectors in blocks."""
+"""Joins on a key and a range of time, in buckets."""
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import table
@@ -29,103 +27,6 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_pairs(pick("click"), pick("purchase"), "user_id", "ts", 3600).select(F.col("a").alias("click"), F.col("z").alias("purchase"))
 
 
-def nearest_vectors(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """id, rank, near, similarity: the k rows of vectors (id, v) with the largest cosine to each of queries, itself left out; ties by id.
-
-    Both sides are dealt to blocks of about `block` rows; a task multiplies one block of queries with one of vectors and gives the best k of
-    each query, so it holds two blocks and no pair leaves it but those. Null and zero vectors are near to nothing.
-    """
-    parts = lambda df: max(1, -(-df.count() // block))
-    n, m = parts(vectors), parts(queries)
-    deal = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    right = vectors.select(F.lit(False).alias("asks"), F.col("id"), "v", deal(n).alias("ri"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("qi"))
-    left = queries.select(F.lit(True).alias("asks"), F.col("id"), "v", deal(m).alias("qi"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("ri"))
-    both = left.select("asks", "id", "v", "qi", "ri").unionByName(right.select("asks", "id", "v", "qi", "ri")).where("v IS NOT NULL")
-    best = both.groupBy("qi", "ri").applyInArrow(_best(k), "id long, near long, similarity double")
-    w = W.partitionBy("id").orderBy(F.desc("similarity"), "near")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _best(k: int):
-    def run(block: pa.Table) -> pa.Table:
-        import numpy as np
-
-        asks, ids = block["asks"].to_numpy(), block["id"].to_numpy()
-        v = np.stack(block["v"].to_numpy()).astype(float) if len(block) else np.empty((0, 1))
-        norm = np.sqrt((v * v).sum(1, keepdims=True))
-        q, r = asks & (norm[:, 0] > 0), ~asks & (norm[:, 0] > 0)
-        v = v / np.where(norm > 0, norm, 1)
-        found = []
-        order = np.flatnonzero(r)[np.argsort(ids[r], kind="stable")]
-        for i in np.flatnonzero(q):
-            others = order[ids[order] != ids[i]]
-            s = v[others] @ v[i]
-            found += [(ids[i], ids[others[j]], s[j]) for j in np.argsort(-s, kind="stable")[:k]]
-        return pa.table({name: pa.array([x[c] for x in found], t) for c, (name, t) in enumerate((("id", pa.int64()), ("near", pa.int64()), ("similarity", pa.float64())))})
-
-    return run
-
-
-def cosine_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest of every vector whose id is divisible by 100, among all."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return nearest_vectors(e, e.where("id % 100 = 0"), 3).select(F.col("id").alias("vec_id"), "rank", "near", F.round("similarity", 6).alias("similarity"))
-
-
-def contained(texts: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:
-    """id of the rows of texts (id, text) that hold the text of a row of passages (text) verbatim.
-
-    The second to fifth word of a passage stand as whole words in a text that holds it, so texts are looked up by their runs of four words,
-    an equi-join, and only what is found is searched. Passages of fewer than six words, which have no such run, are compared with every text.
-    """
-    ws = "[ \\t\\n\\x0B\\f\\r]+"
-    split = F.filter(F.split("passage", ws), lambda w: w != "")
-    p = passages.select(F.col("text").alias("passage")).where("passage IS NOT NULL").distinct().withColumn("w", split)
-    # a passage that begins or ends with white space has whole words at its ends, too; leaving them out loses nothing
-    keys = p.where(F.size("w") >= words + 2).select("passage", F.xxhash64(*[F.get("w", F.lit(1 + i)) for i in range(words)]).alias("gram"))
-    w = F.filter(F.split("text", ws), lambda x: x != "")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(words)])))
-    t = texts.select("id", w.alias("w")).where(F.size("w") >= words).select("id", F.explode(grams).alias("gram"))
-    pairs = t.join(keys, "gram").select("id", "passage").distinct()
-    long = texts.join(pairs, "id").where(F.contains("text", "passage")).select("id")
-    short = texts.join(p.where(F.size("w") < words + 2), F.contains(texts["text"], F.col("passage"))).select("id")
-    return long.union(short).distinct()
-
-
-def curation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by language: the first of each group of equal texts, without those that hold a benchmark passage. Hashes and ids are shuffled, not texts."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
-    first = d.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("id").alias("id")).select("id")
-    held = contained(d.select("id", "text"), table(spark, sf_dir, "benchmark").select("text"))
-    sizes = d.select("id", "lang", F.length("text").alias("n")).join(first, "id", "left_semi").join(held, "id", "left_anti")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
-    told = sizes.join(labels.withColumn("labelled", F.lit(1)), "id", "left")
-    return told.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_chars"), F.count("labelled").alias("n_labeled"), F.count(F.when(F.col("quality") == 1, 1)).alias("n_quality"))
-
-
-def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id and item_id of every pair that shares runs of eight words, and how many distinct ones. Runs are joined by hash; the words decide."""
-
-    def grams(name: str, key: str) -> DataFrame:
-        words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
-        rows = table(spark, sf_dir, name).select(F.col(key), words.alias("w")).where(F.size("w") >= 8)
-        runs = F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: F.array_join(F.slice("w", i + 1, 8), " "))
-        return rows.select(key, F.explode(F.array_distinct(runs)).alias("g"))
-
-    return grams("documents", "doc_id").join(grams("benchmark", "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-
-
 INTERVAL_SQL = "SELECT c.event_id AS click, p.event_id AS purchase FROM events c JOIN events p ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND epoch_us(p.ts) - epoch_us(c.ts) BETWEEN 0 AND 3600000000"
-_GRAMS = "SELECT DISTINCT {k}, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 6)) AS i FROM (SELECT {k}, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM {t}))"
-QUERIES = {"join_interval": interval_join, "cosine_top_k": cosine_top_k, "curation_summary": curation_summary, "benchmark_overlap": benchmark_overlap}
-SQL = {
-    "join_interval": INTERVAL_SQL,
-    "cosine_top_k": """
-SELECT vec_id, rank, near, similarity FROM (
-  SELECT q.vec_id, r.vec_id AS near, s, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, r.vec_id) AS INT) AS rank
-  FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0) q JOIN (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) r ON q.vec_id <> r.vec_id,
-  LATERAL (SELECT list_cosine_similarity(q.v, r.v) AS s))
-WHERE rank <= 3""",
-    "curation_summary": "SELECT d.lang, count(*) AS n_docs, sum(length(d.text))::BIGINT AS n_chars, count(l.doc_id) AS n_labeled, count(CASE WHEN l.quality = 1 THEN 1 END) AS n_quality FROM (SELECT arg_min(text, doc_id) AS text, arg_min(lang, doc_id) AS lang, min(doc_id) AS doc_id FROM documents GROUP BY sha256(text)) d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(d.text, b.text)) GROUP BY d.lang",
-    "benchmark_overlap": f"SELECT d.doc_id, b.item_id, count(*) AS n FROM ({_GRAMS.format(k='doc_id', t='documents')}) d JOIN ({_GRAMS.format(k='item_id', t='benchmark')}) b ON d.g = b.g GROUP BY 1, 2",
-}
+QUERIES = {"join_interval": interval_join}
+SQL = {"join_interval": INTERVAL_SQL}

@@ -6,10 +6,11 @@ percentiles; rows are numbered within (key, bucket), and counts of buckets give
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import Scratch
 from tessera.sources.tables import table
 
 
@@ -45,6 +46,23 @@ def row_numbers(df: DataFrame, key: str, order: str, buckets: int | None = None)
     return out.withColumn("rn", F.col("__own") + F.col("__before")).drop("__bucket", "__own", "__k", "__b", "__before")
 
 
+def numbered(df: DataFrame, order: list[str | Column], scratch: Scratch | None = None) -> DataFrame:
+    """df with place: a row's number, from 0 on, in the order of all rows; rows that are equal in order take any. No task sees more than its range: rows are
+    sorted over ranges of the order and written, and the counts of the ranges, one number each, give what comes before. A value that very many rows share needs further
+    columns in order, or its rows are one range."""
+    scratch = scratch or Scratch(df.sparkSession, "numbered")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scratch.write(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__at", 33)
+    sizes = sorted(rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect(), key=lambda r: r.part)  # a row a range
+    before = [0]
+    for r in sizes:
+        before.append(before[-1] + r.n)
+    starts = df.sparkSession.createDataFrame([(r.part, b) for r, b in zip(sizes, before, strict=False)], "__part long, __before long")
+    out = rows.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return out.withColumn("place", F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__before")
+
+
 def percentiles(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
     """key and q1, q2, ...: exact percentiles of the values that are not null, interpolated, from the one or two rows beside each rank."""
     rows = row_numbers(df.select(key, value).where(F.col(value).isNotNull()), key, value)
@@ -73,9 +91,26 @@ def median_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", [0.5]).select("l_returnflag", F.col("q1").alias("mid"))
 
 
-QUERIES = {"ranks": ranks, "percentile_exact": percentile_exact, "median_two_level": median_quantity}
+def max_by_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each return flag the orders with the dearest and cheapest line, the least order, and the exact median of the quantities, in two levels."""
+    lines = table(spark, sf_dir, "lineitem")
+    by = F.struct("l_extendedprice", "l_orderkey")
+    ends = lines.groupBy("l_returnflag").agg(F.max_by("l_orderkey", by).alias("top"), F.min_by("l_orderkey", by).alias("bottom"), F.min("l_orderkey").alias("low"))
+    mid = percentiles(lines, "l_returnflag", "l_quantity", [0.5]).select(F.col("l_returnflag").alias("flag"), F.col("q1").alias("mid"))
+    return ends.join(mid, F.col("l_returnflag").eqNullSafe(F.col("flag"))).drop("flag")
+
+
+def sort_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order of their label, those without one last, and of their id: each with its place."""
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("q")), "doc_id", "left")
+    return numbered(rows, [F.col("q").asc_nulls_last(), "doc_id"])
+
+
+QUERIES = {"ranks": ranks, "percentile_exact": percentile_exact, "median_two_level": median_quantity, "max_by_median": max_by_median, "sort_nulls": sort_nulls}
 SQL = {
     "ranks": "SELECT o_orderkey, rank() OVER w AS r, dense_rank() OVER w AS d, round(percent_rank() OVER w, 8) AS p, round(cume_dist() OVER w, 8) AS c, ntile(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS q FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderpriority)",
+    "max_by_median": "SELECT l_returnflag, arg_max(l_orderkey, {'a': l_extendedprice, 'b': l_orderkey}) AS top, arg_min(l_orderkey, {'a': l_extendedprice, 'b': l_orderkey}) AS bottom, min(l_orderkey) AS low, median(l_quantity) AS mid FROM lineitem GROUP BY l_returnflag",
+    "sort_nulls": "SELECT d.doc_id, l.quality AS q, row_number() OVER (ORDER BY l.quality ASC NULLS LAST, d.doc_id) - 1 AS place FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "percentile_exact": "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2 FROM events GROUP BY event_type",
     "median_two_level": "SELECT l_returnflag, median(l_quantity) AS mid FROM lineitem GROUP BY l_returnflag",
 }

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import extensions
 from tessera.functions.scalars import SCALARS
-from tessera.operators import joins, windows
+from tessera.operators import graphs, joins, ordered, passages, sketches, vectors, windows
 from tessera.operators.relational import RELATIONAL
-from tessera.sources import connectors, tables
-from tessera.streaming import events
+from tessera.sources import bucketed, connectors, tables
+from tessera.streaming import events, stateful
 
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,5 +19,9 @@ def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 _TEXTS = {name: q if isinstance(q, tuple) else (q, q) for name, q in (RELATIONAL | SCALARS).items()}
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(q[0]) for name, q in _TEXTS.items()} | joins.QUERIES | windows.QUERIES | extensions.QUERIES | connectors.QUERIES | events.QUERIES
-SQL: dict[str, str] = {name: q[1] for name, q in _TEXTS.items()} | joins.SQL | windows.SQL | extensions.SQL | connectors.SQL | events.SQL
+_MODULES = (joins, graphs, ordered, passages, sketches, vectors, windows, extensions, connectors, bucketed, events, stateful)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(q[0]) for name, q in _TEXTS.items()}
+SQL: dict[str, str] = {name: q[1] for name, q in _TEXTS.items()}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL

@@ -1,11 +1,12 @@
 """Operators on small frames: nulls, ties, no rows, and more than one block or bucket."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import joins, windows
+from tessera.operators import joins, passages, vectors, windows
 from tessera.sources import tables
 
 
@@ -40,22 +41,50 @@ def test_nearest_vectors_in_blocks(spark):
         return sum(a * b for a, b in zip(x, y, strict=True)) / norm if norm else None
 
     got = {}
-    for r in joins.nearest_vectors(df, df.where("id % 10 = 0"), 4, 16).collect():
+    for r in vectors.nearest_vectors(df, df.where("id % 10 = 0"), 4, 16).collect():
         got.setdefault(r.id, {})[r["rank"]] = round(r.similarity, 9)
     for i, v in rows:
         if i % 10 == 0 and v and any(v):
             near = sorted((-round(s, 9) for j, w in rows if j != i and w and (s := cosine(v, w)) is not None))[:4]
             assert [-x for x in near] == [got[i][k] for k in (1, 2, 3, 4)]
-    assert joins.nearest_vectors(df.limit(0), df.limit(0), 4).count() == 0
+    assert vectors.nearest_vectors(df.limit(0), df.limit(0), 4).count() == 0
 
 
-def test_contained(spark):
+@pytest.mark.parametrize("most", [100_000, 2, 0])
+def test_contained(spark, monkeypatch, most):
+    """By one automaton, and by runs of words with automata for the short passages."""
+    monkeypatch.setattr(passages, "MOST_CHARS" if not most else "MOST_PASSAGES", most or 1)
+    monkeypatch.setattr(passages, "HEAD", 20)
     long, short = "one two three four five six seven", "red fox"
-    texts = [(1, f"x {long} y"), (2, "one two three four five six"), (3, "aone two three four five six sevenb"), (4, "a redred fox"), (5, None), (6, ""), (7, "one  two three four five six seven"), (1, "again")]
+    texts = [(1, f"x {long} y"), (2, "one two three four five six"), (3, "aone two three four five six sevenb"), (4, "a redred fox"), (5, None), (6, ""), (7, "one  two three four five six seven"), (1, "again"), (8, "one two three four five six eight"), (None, short)]
     df = spark.createDataFrame(texts, "id long, text string")
-    passages = spark.createDataFrame([(long,), (short,), (None,), (long,)], "text string")
-    assert sorted(r.id for r in joins.contained(df, passages).collect()) == [1, 3, 4]
-    assert joins.contained(df.limit(0), passages).count() == 0 and joins.contained(df, passages.limit(0)).count() == 0
+    held = spark.createDataFrame([(long,), (short,), (None,), (long,), ("one two three four five six eighty",), ("foxes",)], "text string")
+    assert {r.id for r in passages.contained(df, held).collect()} == {1, 3, 4, None}
+    assert passages.contained(df, held).count() == 4
+    assert passages.contained(df.limit(0), held).count() == 0 and passages.contained(df, held.limit(0)).count() == 0
+    everything = spark.createDataFrame([("",)], "text string")
+    assert passages.contained(df, everything).count() == len({i for i, t in texts if t is not None})
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_overlaps(spark, monkeypatch, most):
+    monkeypatch.setattr(passages, "MOST_RUNS", most)
+    rnd = random.Random(2)
+    some = [" ".join(rnd.choice(["a", "Bb", "c1", "d-d"]) for _ in range(rnd.randrange(0, 30))) for _ in range(60)]
+    rows = [*enumerate(some), (3, some[5]), (70, None), (71, ""), (None, some[1])]
+    held = [*enumerate(some[:20], 100), (100, some[30]), (130, None)]
+
+    def runs(t, n=3):
+        words = [x for x in re.split("[^a-z0-9]+", (t or "").lower()) if x]
+        return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+    want = {}
+    for keyed, into in ((rows, 0), (held, 1)):
+        for i, t in keyed:
+            want.setdefault((into, i), set()).update(runs(t))
+    pairs = {(a[1], b[1]): len(want[a] & want[b]) for a in want if not a[0] for b in want if b[0]}
+    got = passages.overlaps(spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame(held, "item long, text string"), 3).collect()
+    assert {(r.id, r.item): r.n for r in got} == {k: n for k, n in pairs.items() if n} and len(got) > 50
 
 
 def test_interval_pairs(spark):
