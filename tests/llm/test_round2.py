@@ -248,11 +248,15 @@ def test_html_tie_takes_the_page_before(spark):
     assert got[2] == "own 2\n\nright"
 
 
-def test_html_line_inside_needs_both_neighbours(spark):
-    page = "<body><div>{0}</div><article><p>a text of its own, long enough to count {0}</p>{1}</article></body>"
-    rows = [(i, f"http://a.b/{i}", page.format(i, "<p>all rights reserved</p>" + ("<p>a quoted passage</p>" if i in (2, 3) else ""))) for i in (1, 2, 3, 4)]
+def test_html_line_inside_needs_most_pages_of_the_host(spark):
+    page = "<body><div>{0}</div><article><h2>same heading</h2><p>a text of its own, which is long enough to outweigh what is shared with others {0}</p>{1}<p>all rights reserved</p>{2}</article></body>"
+    rows = [(i, f"http://a.b/{i:02}", page.format(i, "<p>a quoted passage</p>" if i in (2, 3) else "", "<p>a last line</p>" if i == 5 else "")) for i in range(10)]
+    rows += [(20 + i, f"http://few.pages/{i}", page.format(i, "", "")) for i in range(7)]
+    recipe = "<article><p>take {0} eggs, and what else is there in the kitchen on day {0}<p>Serve warm.</article>"
+    rows += [(40 + i, f"http://food.org/{i}", recipe.format(i)) for i in range(3)]
     got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all("rights" not in x for x in got.values()) and "quoted" in got[2] and "quoted" in got[3]
+    assert all("rights" not in got[i] and "same heading" in got[i] for i in range(10)) and "quoted" in got[2] and "quoted" in got[3] and "a last line" in got[5]
+    assert all("rights" in got[20 + i] for i in range(7)) and all(got[40 + i].endswith("Serve warm.") for i in range(3))
 
 
 # personal data

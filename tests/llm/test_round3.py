@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -239,3 +240,94 @@ def test_scores_without_texts_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in suffix_tree.scores(docs, F.lit(False)).collect()) == [(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]
     assert suffix_tree.scores(docs.limit(0), F.lit(True)).count() == 0
+
+
+# html
+
+
+def test_html_names_inside_an_article():
+    for page, want in (
+        ("<article class='post comment-text'><p>a</article>", ["a"]),
+        ("<article><h2 class=header>title</h2><p>a</article>", ["title", "a"]),
+        ("<article><header><h1>title</h1><p>by someone</header><p>a</article>", ["title", "by someone", "a"]),
+        ("<article><header><a href=x>home page</a> <a href=y>news</a></header><p>a</article>", ["a"]),
+        ("<article><p>a<div class=social>what people do with each other</div></article>", ["a", "what people do with each other"]),
+        ("<article><p>a<div class=social><a href=x>tell a friend</a></div></article>", ["a"]),
+        ("<article><ul class=menu><li>soup<li>fish with rice</ul></article>", ["soup", "fish with rice"]),
+        ("<article><ul class=menu><li><a href=a>home</a><li><a href=b>contact</a></ul><p>a</article>", ["a"]),
+        ("<article><p>a<div class=footer><input name=q><input name=r> go</div></article>", ["a"]),
+        ("<article><p>a<div class=comments><p>a reader's words, without a link</div><div class='ad'>buy</div></article>", ["a"]),
+        ("<header><h1>site</h1></header><div class=menu>x</div><article><p>a</article>", ["a"]),
+        ("<article><b><span class=menu>soup</b></span><p>a</article>", ["soup", "a"]),
+    ):
+        assert html_text.lines(page)[0] == want, page
+
+
+def plain_main_text(rows):
+    """page_id -> text by going through all pages of a host in order; the alignment itself is tested elsewhere."""
+    split = lambda u: re.fullmatch(r"http://([^/]*)(.*)", u).groups()
+    out = {i: "" for i, _, _ in rows}
+    by = {}
+    for i, u, h in rows:
+        page = html_text.lines(h)
+        if page[0]:
+            by.setdefault(split(u)[0], []).append((split(u)[1], i, page))
+    for pages in by.values():
+        different = {repr(p) for _, _, p in pages}
+        ends = collections.Counter()
+        for p in [p for k, (_, _, p) in enumerate(pages) if all(q != p for _, _, q in pages[:k])]:
+            own = [x for x, w in zip(*p, strict=True) if w == 1]
+            ends.update({("^", x) for x in own[: html_text.EDGES]} | {("$", x) for x in own[-html_text.EDGES :]})
+        articles = sum(any(w == 1 for w in eval(p)[1]) for p in different)
+        fixed = {x for x, n in ends.items() if n >= html_text.PAGES and 2 * n > articles}
+        pages.sort(key=lambda p: (p[0], p[1]))
+        for k, (path, i, page) in enumerate(pages):
+            near = []
+            for step in (-1, 1):
+                j = k
+                while 0 <= j < len(pages) and pages[j][2] == page:
+                    j += step
+                if 0 <= j < len(pages):
+                    near.append(pages[j])
+            text, inside = page
+            size = lambda p, of=None: sum(len(x) for j, (x, w) in enumerate(zip(*p, strict=True)) if w and (of is None or j in of))
+            if not near:
+                out[i] = "\n\n".join(x for x, w in zip(text, inside, strict=True) if w or 2 * size(page) < sum(map(len, text)))
+                continue
+            common = [len([1 for a, b in itertools.takewhile(lambda z: z[0] == z[1], zip(path, n[0], strict=False))]) for n in near]
+            other = near[common.index(max(common))][2]
+            gone = html_text.shared(text, other[0])
+            copies = size(page) and 2 * size(page, gone) >= min(size(page), size(other) or size(page))
+            own = [j for j, w in enumerate(inside) if w == 1]
+            ends = {j for j in own[: html_text.EDGES] if ("^", text[j]) in fixed} | {j for j in own[-html_text.EDGES :] if ("$", text[j]) in fixed}
+            gone = {j for j in gone if not inside[j] or not copies and j in ends}
+            out[i] = "\n\n".join(text if len(gone) == len(text) else [x for j, x in enumerate(text) if j not in gone])
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 13])
+def test_html_against_a_plain_version(spark, partitions):
+    rnd, rows = random.Random(3), []
+    for i in range(160):
+        site = rnd.randrange(6)
+        own = "".join(f"<p>{rnd.choice(['line', 'passage'])} {rnd.randrange(200)} of the text, with more words than the rest" for _ in range(rnd.randrange(0, 6)))
+        page, *_ = rnd.choices([f"<div>site {site}</div><article><p>Filed {site}<h2>head {rnd.randrange(3)}</h2>{own}<p>rights {site}</article><div>end</div>", f"<div>site {site}</div>{own}<p>end", "", f"<article>{own}</article>", f"<div>site {site}</div><article>{own}<p>rights {site}</article>"], (8, 1, 1, 1, 1))
+        rows.append((i, f"http://h{site}.org/{rnd.choice('ab')}/{rnd.randrange(40)}", page if rnd.random() < 0.9 else rows[-1][2] if rows else page))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = plain_main_text(rows)
+    assert got == want
+    assert sum("Filed" in h and "Filed" not in want[i] for i, _, h in rows) > 10  # some lines inside go, by the host's pages
+
+
+def test_html_of_the_given_pages(spark):
+    """Every line of every article is kept, and nothing else."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    for r in pages.collect():
+        text, inside = html_text.lines(r.html)
+        assert got[r.page_id] == "\n\n".join(x for x, w in zip(text, inside, strict=True) if w)
