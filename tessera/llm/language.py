@@ -7,7 +7,8 @@ the next language is narrow: below MARGIN of the least size, at any length, or w
 
 Fitting looks at a bounded sample: DOCS_PER_LANG documents of each language with the least hashes of doc_id, and of each its first PASSAGE
 characters, at most DICT_BYTES bytes a language. Every language of the labels is learned; beyond SAMPLE_DOCS / DOCS_PER_LANG languages each
-has fewer documents, so that the sample stays at SAMPLE_DOCS, or one for each language. Predictions read whole texts, all in the same way.
+has fewer documents, so that the sample stays at SAMPLE_DOCS. A text is compressed once for each language, so labels of more than MOST_LANGS languages, which a column
+of something else would have, are an error. Predictions read whole texts, all in the same way.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
-DOCS_PER_LANG, PASSAGE, DICT_BYTES, SAMPLE_DOCS = 256, 1024, 160_000, 51_200
+DOCS_PER_LANG, PASSAGE, DICT_BYTES, SAMPLE_DOCS, MOST_LANGS = 256, 1024, 160_000, 51_200, 1_000
 #: Bytes of a text that are compressed at once, and how hard.
 BLOCK, LEVEL = 16_384, 9
 #: Bytes of its own dictionary that go before a block.
@@ -41,10 +42,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame) -> dict[str, bytes]:
-    """lang -> dictionary, from docs (doc_id, text, lang). Counts first, then a hash threshold keeps what is ranked small."""
+    """lang -> dictionary, from docs (doc_id, text, lang). Counts first, then a hash threshold keeps what is ranked small. More than MOST_LANGS
+    languages raise ValueError."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     counts = docs.groupBy("lang").count()
     langs = max(1, counts.count())
+    if langs > MOST_LANGS:
+        raise ValueError(f"lang has {langs} different values, of which at most {MOST_LANGS} can be learned: normalise or map the labels first")
     docs_per_lang, dict_bytes = (max(1, min(most, SAMPLE_DOCS * most // (langs * DOCS_PER_LANG))) for most in (DOCS_PER_LANG, DICT_BYTES))
     near = common.bounded(counts.select(F.col("lang").alias("l"), (F.lit(4.0 * docs_per_lang) / F.col("count")).alias("share")), langs)
     h = F.xxhash64("doc_id", F.lit(17))
@@ -52,7 +56,7 @@ def fit(docs: DataFrame) -> dict[str, bytes]:
     some = some.select("lang", "doc_id", h.alias("h"), F.substring("text", 1, PASSAGE).alias("passage"))
     some = some.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "passage"))).where(F.col("n") <= docs_per_lang)
     out: dict[str, list[bytes]] = {}
-    for r in some.orderBy("lang", F.desc("n")).collect():  # SAMPLE_DOCS passages at most, or one a language
+    for r in some.orderBy("lang", F.desc("n")).collect():  # SAMPLE_DOCS passages at most
         out.setdefault(r.lang, []).append(letters(r.passage))
     return {k: b"\n".join(v)[-dict_bytes:] for k, v in out.items()}
 

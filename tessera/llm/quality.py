@@ -22,13 +22,14 @@ STOP_WORDS = {
 #: The words as they count: in lower case, with a capital, in capitals.
 COUNTED = sorted({form(w) for words in STOP_WORDS.values() for w in words.split() for form in (str, str.capitalize, str.upper)})
 #: name, numerator, denominator, least, most, fewest words for which the rule is asked. Of words of prose in the four languages a fifth or more
-#: are stop words; the threshold stays far below (the least ratio of a document labelled good at sf0.1 is 0.12).
+#: are stop words; the threshold stays far below (the least ratio of a document labelled good at sf0.1 is 0.12). Where fewer than that are stop words, the language may
+#: have no list, and the words that the text itself repeats count instead: prose of sixty words repeats its function words in any language, a list of names or codes does not.
 RULES = [
     ("mean_word_chars", "word_chars", "n_words", 1.5, 20.0, 10),
     ("symbols_per_word", "n_symbols", "n_words", None, 0.3, 10),
     ("bullet_lines", "n_bullet_lines", "n_lines", None, 0.9, 10),
     ("repeated_lines", "n_dup_lines", "n_lines", None, 0.3, 10),
-    ("stop_words", "n_stop_words", "n_words", 0.05, None, 60),
+    ("usual_words", "n_usual_words", "n_words", 0.05, None, 60),
 ]
 #: Base rules of the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -58,6 +59,7 @@ def figures(text: Column) -> list[dict[str, Column]]:
             "__hashes": F.transform(words, lambda w: F.xxhash64(w)),
         },
         {
+            "n_usual_words": F.when(20 * F.col("n_stop_words") >= F.col("n_words"), F.col("n_stop_words")).otherwise((F.size(words) - F.size(F.array_distinct(words))).cast("long")),
             "__windows": F.when(F.size(words) >= WINDOW, hashes).otherwise(F.expr("CAST(array() AS array<bigint>)")),
         },
         {"__sorted": F.when(F.size("__windows") > F.size(F.array_distinct("__windows")), pairs)},
@@ -121,8 +123,8 @@ f AS (
   SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines,
     len(list_filter(l, lambda x: regexp_matches(x, '^[ \t]*[-*\x{{2022}}\x{{2023}}\x{{25aa}}]')))::BIGINT AS n_bullet_lines,
-    len(list_filter(w, lambda x: x IN ({', '.join(map(repr, COUNTED))})))::BIGINT AS n_stop_words, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+    len(list_filter(w, lambda x: x IN ({', '.join(map(repr, COUNTED))})))::BIGINT AS n_stop_words, len(list_distinct(w))::BIGINT AS n_different, coalesce(r.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN r USING (doc_id)),
-b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f)
+b AS (SELECT *, CASE WHEN 20 * n_stop_words >= n_words THEN n_stop_words ELSE n_words - n_different END AS n_usual_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_rules_sql()} AS kept FROM b
 """

@@ -15,7 +15,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tessera.llm import common, exact_dup, fill_middle, html_text, language, merkle, near_dup, packing, suffix_tree, token_count, token_output
+from tessera.llm import common, exact_dup, fill_middle, html_text, language, merkle, near_dup, quality, suffix_tree
 from tests.llm.test_operators import shingles
 from tests.llm.test_round2 import DOCS, WORDS, components_of, frame, prose
 
@@ -331,3 +331,30 @@ def test_html_of_the_given_pages(spark):
     for r in pages.collect():
         text, inside = html_text.lines(r.html)
         assert got[r.page_id] == "\n\n".join(x for x, w in zip(text, inside, strict=True) if w)
+
+
+# quality, language
+
+
+def test_prose_of_a_language_without_a_list(spark):
+    """Italian prose passes, a list of different words does not, be it of that length or longer."""
+    text = "nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita ahi quanto a dir qual era \u00e8 cosa dura esta selva selvaggia e aspra e forte che nel pensier rinova la paura tant \u00e8 amara che poco \u00e8 pi\u00f9 morte ma per trattar del ben ch i vi trovai dir\u00f2 de l altre cose ch i v ho scorte io non so ben ridir com i v intrai tant era pien di sonno"
+    rows = [(1, text), (2, " ".join(f"code{i}x" for i in range(160))), (3, " ".join(f"code{i}x" for i in range(59)))]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.quality(frame(spark, rows)).collect()}
+    assert got == {1: (False, True), 2: (False, False), 3: (False, True)}
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    with pytest.raises(ValueError, match="100000 different values"):
+        language.fit(docs)
+    assert len(language.fit(docs.where("doc_id < 600"))) == 600
+
+
+def test_a_component_of_many_classes(spark, monkeypatch):
+    """A chain of texts, each a class of its own and alike to the next only, over joins that deal out keys of more than four rows."""
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 120])) for i in range(50)]
+    got = near_dup.near_duplicates(frame(spark, rows), 2, 80).collect()
+    assert {(r.component_id, r.kept == (r.doc_id == 0)) for r in got} == {(0, True)}
