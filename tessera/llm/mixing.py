@@ -104,7 +104,7 @@ def schedule(t: DataFrame, slots: int, scratch: common.Scratch) -> DataFrame:
 
 def marked(rows: DataFrame, scratch: common.Scratch, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The columns of mixed for rows with keys (__f, __i, doc_id, text, source), with the keys."""
-    d = rows.select("__f", "__i", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    d = rows.select("__f", "__i", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("__t"))
     d = scratch.write(d, "docs")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     t = scratch.write(targets(sizes.select("source", "source_size"), weights, share, most), "targets")
@@ -112,11 +112,11 @@ def marked(rows: DataFrame, scratch: common.Scratch, weights: tuple = WEIGHTS, s
     total = t.agg(F.sum("target")).first()[0] or 0.0
     block = int(max(1, min(BLOCK_WORDS, total // LEAST_SLOTS)))
     slots = int(total / block + 0.5)
-    d = d.join(common.bounded(t, sources), d.source.eqNullSafe(t.source)).select("__f", "__i", "doc_id", "size", "idx", "source_size", "target", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"))
+    d = d.join(common.bounded(t, sources), d.source.eqNullSafe(t.source)).select("__f", "__i", "doc_id", "size", "idx", "source_size", "target", "__t", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.col("__t").cast("string")))).alias("h"))
     buckets = max(1, -(-rows // bucket_rows(rows)))
     bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * buckets / 2**32)
-    d = running(d, "idx", ["h", "doc_id", "size", "__f", "__i"], F.col("size"), bucket, scratch, "shuffled")
-    d = scratch.write(d.withColumnRenamed("__before", "start").withColumnRenamed("__rank", "rank").drop("h"), "laid")
+    d = running(d, "idx", ["h", "doc_id", "size", "__t", "__f", "__i"], F.col("size"), bucket, scratch, "shuffled")
+    d = scratch.write(d.withColumnRenamed("__before", "start").withColumnRenamed("__rank", "rank").drop("h", "__t"), "laid")
     scratch.drop("docs", "shuffled", "shuffled-base")
 
     # where each copy of a document lies in its source's endless line, cut at the ends of the blocks that the schedule takes
@@ -153,13 +153,18 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = common.keyed(rows, scratch)
     pieces = marked(rows, scratch).select("__f", "__i", "size", F.explode("pieces").alias("p"))
     copies = pieces.groupBy("__f", "__i", "size", "p.copy").agg(F.min("p.slot").alias("__slot"), F.sum("p.words").alias("__words"))
-    both = rows.join(copies.withColumnRenamed("size", "__size").drop("copy"), ["__f", "__i"])
+    copies = scratch.write(copies.withColumnRenamed("size", "__size").drop("copy"), "copies")
+    told = copies.agg(F.count("*").alias("n"), F.max("__slot").alias("last")).first()
+    both = rows.join(common.bounded(copies, told.n), ["__f", "__i"])
     words = F.split(F.btrim("text", F.lit(common.SPACE)), "[\\x20\\x09-\\x0D]+", -1)
     text = F.when(F.col("__words") < F.col("__size"), F.array_join(F.slice(words, 1, F.col("__words").cast("int")), " ")).otherwise(F.col("text"))
     out = both.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__words") < F.col("__size"), F.length("text").cast("long")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.repartitionByRange("__slot").sortWithinPartitions("__slot").select(*back)
+    # blocks are of equal tokens, so equal ranges of slots are of equal size, and need no sample of the texts
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    part = F.floor(F.col("__slot") * n / ((told.last or 0) + 1)).cast("int")
+    return out.repartitionById(n, part).sortWithinPartitions("__slot").select(*back)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
