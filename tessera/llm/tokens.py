@@ -19,7 +19,7 @@ CHUNK = 4_000_000
 #: White space, between words.
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Words whose ids are kept for the next chunks.
-KEPT = 200_000
+KEPT = 600_000
 #: Words whose ids are put in order at once.
 GATHERED = 200_000
 #: Words that are encoded in one call.
