@@ -15,7 +15,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from tessera.llm import common, exact_dup, fill_middle, html_text, language, merkle, near_dup, quality, suffix_tree
+from tessera.llm import common, exact_dup, fill_middle, html_text, language, merkle, near_dup, private_data, quality, suffix_tree
 from tests.llm.test_operators import shingles
 from tests.llm.test_round2 import DOCS, WORDS, components_of, frame, prose
 
@@ -358,3 +358,44 @@ def test_a_component_of_many_classes(spark, monkeypatch):
     rows = [(i, " ".join(words[5 * i : 5 * i + 120])) for i in range(50)]
     got = near_dup.near_duplicates(frame(spark, rows), 2, 80).collect()
     assert {(r.component_id, r.kept == (r.doc_id == 0)) for r in got} == {(0, True)}
+
+
+# personal data, planted in the given documents
+
+
+def planted(docs, every=25):
+    """Rows of docs (doc_id, text) with an identifier and its context put in at a place of their own: seeds of base patterns, ones of the same kinds that no base pattern takes, and
+    strings of these shapes behind words that no seed stands behind. And what is to be found of each document."""
+    rnd, rows, want = random.Random(14), [], {}
+    number = lambda: f"{rnd.randint(200, 999)}-{rnd.randint(200, 999)}-{rnd.randint(1000, 9999)}"
+    code = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n - 2)) + "a1"
+    for i, (doc_id, text) in enumerate(docs):
+        words = (text or "").split(" ")
+        found, part = {}, ""
+        if i % every == 1:
+            part = f"reach our desk on +1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)} any day. Our token = \"{code(40)}\" holds. Write to the office at box{i}@mail{i}.com or come."
+        elif i % every == 2:
+            found = {"phone": number(), "secret": code(10), "email": f"jörg{i}@münchen{i}.de"}
+            part = f"reach our desk on {found['phone']} any day. Our token = \"{found['secret']}\" holds. Write to the office at {found['email']} or come."
+        elif i % every == 3:
+            part = f"part number {number()} fits. Commit {code(10)} broke. Version x{rnd.randint(1, 9)}@{rnd.randint(1, 99)} fell."
+        at = rnd.randrange(len(words) + 1)
+        text = " ".join([*words[:at], part, *words[at:]]) if part else text
+        want[doc_id] = {(k, text.index(v), text.index(v) + len(v)) for k, v in found.items()}
+        rows.append((doc_id, text))
+    return rows, want
+
+
+def test_private_data_planted_in_documents(spark):
+    """Of what was planted, all is found; of the spans that are added, none is at a decoy. (README has the figures of larger tables.)"""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    rows, want = planted(docs)
+    before = {r.doc_id: set(r.spans.split(",")) for r in private_data.personal_data(frame(spark, docs)).collect()}
+    got = {r.doc_id: r for r in private_data.personal_data(frame(spark, rows)).collect()}
+    spans = {i: {(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)} for i, r in got.items()}
+    hit = sum(len(w & spans[i]) for i, w in want.items())
+    text, decoys = dict(rows), 0
+    for i, (doc_id, _) in enumerate(docs):
+        if i % 25 == 3:
+            decoys += len(got[doc_id].spans.split(",")) - len(before[doc_id]) if got[doc_id].spans else 0
+    assert hit >= 0.95 * sum(map(len, want.values())) and decoys == 0, (hit, sum(map(len, want.values())), decoys, len(text))
