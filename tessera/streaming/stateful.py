@@ -69,19 +69,45 @@ class Sessions(StatefulProcessor):
         pass
 
 
+class FirstSeen(StatefulProcessor):
+    """The first event of each kind of a user. A kind is forgotten, and is new again, ttl milliseconds after it was seen: the state store drops it by itself."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "kind string", "event_id long", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("event_id").drop_duplicates("event_type")
+        for event_id, kind in zip(batch["event_id"].tolist(), batch["event_type"].tolist(), strict=True):
+            if not self.seen.containsKey((kind,)):
+                self.seen.updateValue((kind,), (event_id,))
+                yield pd.DataFrame({"user_id": [key[0]], "event_type": [kind], "event_id": [event_id]})
+
+    def close(self) -> None:
+        pass
+
+
+def first_seen(events: DataFrame, ttl: int) -> DataFrame:
+    """user_id, event_type, event_id: first events of a stream (event_id, user_id, event_type), new ones after ttl milliseconds of the clock."""
+    return events.select("user_id", "event_id", "event_type").groupBy("user_id").transformWithStateInPandas(FirstSeen(ttl), "user_id long, event_type string, event_id long", "append", "processingTime")
+
+
 def sessions(events: DataFrame, gap: int, delay: str) -> DataFrame:
     """SESSION rows of a stream of events (event_id, user_id, event_type, value, ts); rows later than delay behind the latest one may be left out."""
     rows = events.withWatermark("ts", delay).select("user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("at"), F.round(100 * F.col("value")).cast("long").alias("cents"))
     return rows.groupBy("user_id").transformWithStateInPandas(Sessions(gap), SESSION, "append", "eventTime")
 
 
-def run_on(df: DataFrame, where: str) -> None:
-    """Run a stream over what is there now, into where/out, going on from the state in where/state; state is kept in RocksDB."""
+def run_on(df: DataFrame, where: str, clocked: bool = False) -> None:
+    """Run a stream over what is there now, into where/out, going on from the state in where/state; state is kept in RocksDB. A stream that goes by the clock
+    has always another batch to run, so it is given one batch."""
     spark, key = df.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        q = df.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start()
+        q = df.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(**({"once": True} if clocked else {"availableNow": True})).start()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     q.awaitTermination()
@@ -108,6 +134,13 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each kind of each user, whose state lives for a day."""
+    scratch, firsts = Scratch(spark, "first"), first_seen(source(spark, sf_dir), 86_400_000)
+    run_on(firsts, scratch.path, True)
+    return spark.read.schema(firsts.schema).parquet(f"{scratch.path}/out")
+
+
 def outer_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks with the purchases of the hour after them; those without any once the watermark says that none can come."""
     a = source(spark, sf_dir).where("event_type = 'click'").selectExpr("event_id AS click", "user_id AS u", "ts AS ta").withWatermark("ta", "1 hour")
@@ -115,9 +148,10 @@ def outer_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_once(a.join(b, F.expr("u = v AND tb BETWEEN ta AND ta + INTERVAL 1 HOUR"), "leftOuter").select("click", "purchase"))
 
 
-QUERIES = {"stream_state": stream_state, "stream_outer_join": outer_joined}
+QUERIES = {"stream_state": stream_state, "stream_first_seen": stream_first_seen, "stream_outer_join": outer_joined}
 _WATERMARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 SQL = {
+    "stream_first_seen": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2",
     "stream_state": f"""
 WITH g AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
 s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM g),

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,6 +167,17 @@ def test_sessions_over_batches_and_a_restart(spark):
     assert sorted((r.user_id, r.m, r.n, r.top, r.total, r.before) for r in out) == [(1, 0, 4, "a", 3.25, 0), (2, 5, 1, "b", 2.5, 0), (2, 50, 2, "a", 3.0, 1), (3, 21, 1, "a", 0.1, 0)]
 
 
+def test_state_that_lives_for_a_while(spark):
+    """Within its time a kind is known over a restart; after it, it is new again."""
+    scratch, kind = Scratch(spark, "test"), "event_id long, user_id long, event_type string"
+    for rows, wait in (([(1, 1, "a"), (2, 1, "b"), (3, 2, "a")], 0), ([(4, 1, "a"), (5, 2, "b")], 0), ([(6, 1, "a"), (7, 2, "a")], 25)):
+        time.sleep(wait)
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{scratch.path}/in")
+        stateful.run_on(stateful.first_seen(spark.readStream.schema(kind).parquet(f"{scratch.path}/in"), 20_000), scratch.path, True)
+    got = sorted((r.event_id, r.user_id, r.event_type) for r in spark.read.parquet(f"{scratch.path}/out").collect())
+    assert got in ([(1, 1, "a"), (2, 1, "b"), (3, 2, "a"), (5, 2, "b"), (6, 1, "a"), (7, 2, "a")], [(1, 1, "a"), (2, 1, "b"), (3, 2, "a"), (4, 1, "a"), (5, 2, "b"), (6, 1, "a"), (7, 2, "a")])  # the second if a run took 20 seconds
+
+
 def test_all_names_are_registered_once():
     from tessera.plans import catalog
 
