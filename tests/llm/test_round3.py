@@ -372,7 +372,7 @@ def planted(docs, every=25):
     for i, (doc_id, text) in enumerate(docs):
         words = (text or "").split(" ")
         found, part = {}, ""
-        if i % every == 1:
+        if i % every in (1, 4):  # two seeds for each hidden one
             part = f"reach our desk on +1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)} any day. Our token = \"{code(40)}\" holds. Write to the office at box{i}@mail{i}.com or come."
         elif i % every == 2:
             found = {"phone": number(), "secret": code(10), "email": f"jörg{i}@münchen{i}.de"}
