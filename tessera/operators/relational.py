@@ -49,7 +49,11 @@ RELATIONAL: dict[str, str | tuple[str, str]] = {
     "lag_lead": "SELECT event_id, lag(event_type) OVER w AS before, lead(event_type, 2) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
     "asof_last_purchase": ("SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS second FROM events", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id) AS second FROM events"),
     "moving_sums": f"SELECT event_id, CAST(sum({M.format('value')}) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS DOUBLE) AS moving, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS so_far FROM events",
-    "range_frame": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(o_totalprice AS BIGINT) RANGE BETWEEN 10000 PRECEDING AND 10000 FOLLOWING) AS alike FROM orders",
+    # DuckDB casts to the nearest whole number, halves to the even one, which is rint; Spark's cast cuts
+    "range_frame": (
+        "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(rint(o_totalprice) AS BIGINT) RANGE BETWEEN 10000 PRECEDING AND 10000 FOLLOWING) AS alike FROM orders",
+        "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY CAST(o_totalprice AS BIGINT) RANGE BETWEEN 10000 PRECEDING AND 10000 FOLLOWING) AS alike FROM orders",
+    ),
     "sessions_batch": ("SELECT user_id, s, count(*) AS n, min(event_id) AS first FROM (SELECT user_id, event_id, sum(CASE WHEN gap > 1800 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, event_id, ts, CAST(unix_micros(CAST(ts AS TIMESTAMP)) - lag(unix_micros(CAST(ts AS TIMESTAMP))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) / 1000000 AS gap FROM events)) GROUP BY user_id, s", "SELECT user_id, CAST(s AS BIGINT) AS s, count(*) AS n, min(event_id) AS first FROM (SELECT user_id, event_id, sum(CASE WHEN gap > 1800 OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, event_id, ts, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000000.0 AS gap FROM events)) GROUP BY user_id, s"),
     "top_per_group": "SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 3",
     "top_k_offset": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5",
