@@ -1,4 +1,4 @@
-"""Joins by order: as-of over two tables, and pairs by two inequalities, both over ranges of sorted rows, without a nested loop.
+"""Joins by order: as-of over two tables, and pairs by two inequalities or their counts, over ranges of sorted rows, without a nested loop.
 
 Ranges are cut by Spark's range partitioning over all columns of the order, so a key or a value that a third of all rows share is many ranges.
 """
@@ -22,6 +22,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Rows of either side of a block of pairs.
 BLOCK = 16_384
+#: Rows of either side of a strip, on the average, and the most strips of a column.
+STRIP, STRIPS = 200_000, 512
 _SIDED = "key long, at long, side int, id long, spread long"
 
 
@@ -127,6 +129,106 @@ def _pairs(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(flat(a), pa.int64()), "b": pa.array(flat(b), pa.int64())})
 
 
+def inequality_counts(left: DataFrame, right: DataFrame, strip: int = STRIP) -> DataFrame:
+    """id, n and last: of each id of left that has partners in inequality_pairs, how many pairs it has and the greatest id among its partners, without making the pairs.
+
+    x and y are cut at bounds into strips, by turns an open range and a bound by itself, so a value that very many rows share is a strip in which nothing is less than
+    another. A partner lies in the same strip of x, or further on in the same strip of y, or further on in both. The first two are counted in the strips, one
+    task each, by halving; the last by running sums over the grid of strips, which is broadcast: (2 * STRIPS + 1)^2 cells at most. So each row is shuffled twice, however many pairs
+    there are. A strip has about `strip` rows of a side up to STRIPS strips. Rows with a null in x or y are in no pair; pairs of repeated ids are summed.
+    """
+    spark, scratch = left.sparkSession, Scratch(left.sparkSession, "inequality")
+    sided = lambda df, side: df.select(F.lit(side).alias("side"), F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
+    both = sided(left, 0).union(sided(right, 1))
+    n = min(STRIPS, max(1, -(-both.count() // (2 * strip))))
+    cuts = both.agg(*[F.percentile_approx(c, [k / n for k in range(1, n)] or [0.5], 10_000).alias(c) for c in "xy"]).first()
+    cuts = [np.unique(np.array(c or [0.0])) for c in cuts]
+    rows = scratch.write(both.mapInArrow(_stripper(cuts), "side int, id long, x double, y double, xs int, ys int"), "rows")
+    cells = rows.where("side = 1").groupBy("xs", "ys").agg(F.count("*").alias("n"), F.max("id").alias("last")).toArrow()
+    grid = spark.sparkContext.broadcast(_grid(cells, *[2 * len(c) + 1 for c in cuts]))
+    beyond = rows.where("side = 0").select("id", "xs", "ys").mapInArrow(_beyond(grid), _COUNTED)
+    asks = rows.select("side", "id", "x", "y", "xs", "ys")
+    within = asks.where("xs % 2 = 0").select(F.lit(0).alias("kind"), F.col("xs").alias("strip"), "side", "id", F.col("x").alias("u"), "y")
+    along = asks.where("ys % 2 = 0").select(F.lit(1).alias("kind"), F.col("ys").alias("strip"), "side", "id", F.col("xs").cast("double").alias("u"), "y")
+    inside = within.union(along).groupBy("kind", "strip").applyInArrow(_dominated, _COUNTED)
+    return beyond.union(inside).groupBy("id").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
+def _stripper(cuts: list[np.ndarray]):
+    """Rows with the strips of their x and y: twice the bounds below, and one more at a bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strips = [np.searchsorted(c, batch.column(k).to_numpy(zero_copy_only=False), "left") + np.searchsorted(c, batch.column(k).to_numpy(zero_copy_only=False), "right") for k, c in zip((2, 3), cuts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(s, pa.int32()) for s in strips]], ["side", "id", "x", "y", "xs", "ys"])
+
+    return run
+
+
+#: Less than every id.
+_NONE = np.iinfo(np.int64).min
+
+
+def _grid(cells: pa.Table, w: int, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell the rows, and their greatest id, of the cells with a greater strip of x and a smaller strip of y."""
+    n, last = np.zeros((w + 1, h + 1), np.int64), np.full((w + 1, h + 1), _NONE)
+    at = cells["xs"].to_numpy(), cells["ys"].to_numpy() + 1
+    n[at], last[at] = cells["n"].to_numpy(), cells["last"].to_numpy()
+    n = np.cumsum(np.cumsum(n[::-1], 0)[::-1], 1)
+    last = np.maximum.accumulate(np.maximum.accumulate(last[::-1], 0)[::-1], 1)
+    return n[1:], last[1:]
+
+
+_COUNTED = "id long, n long, last long"
+
+
+def _counted(id_: np.ndarray, n: np.ndarray, last: np.ndarray) -> tuple[list[pa.Array], list[str]]:
+    some = n > 0
+    return [pa.array(x[some], pa.int64()) for x in (id_, n, last)], ["id", "n", "last"]
+
+
+def _beyond(broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, last = broadcast.value
+        for batch in batches:
+            id_, xs, ys = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays(*_counted(id_, n[xs, ys], last[xs, ys]))
+
+    return run
+
+
+def _dominated(strip: pa.Table) -> pa.Table:
+    """_COUNTED of the left rows of a strip, over its right rows with a greater u and a smaller y.
+
+    Rows are placed by falling u and taken by rising y. At each halving of the places, a left row of a later half meets the right rows of the earlier half that were
+    taken before it: running sums and maxima over all halves at once. At equal values left rows come first.
+    """
+    side, id_, u, y = (strip[c].to_numpy() for c in ("side", "id", "u", "y"))
+    if not side.any() or side.all():
+        return pa.table(*_counted(*[np.empty(0, np.int64)] * 3))
+    place = np.lexsort((side, -u))
+    side, id_, y = side[place], id_[place], y[place]
+    ids, rank = np.unique(id_, return_inverse=True)
+    n, last = np.zeros(len(side), np.int64), np.zeros(len(side), np.int64)
+    taken = np.lexsort((side, y))  # in blocks of places, the greatest first; by y in each
+    for k in range(int(len(side) - 1).bit_length() - 1, -1, -1):
+        block, later = taken >> (k + 1), (taken >> k & 1).astype(bool)
+        first = block << (k + 1)
+        told = ~later & (side[taken] == 1)
+        sums = np.concatenate([[0], np.cumsum(told)])
+        most = np.maximum.accumulate(np.where(told, rank[taken] + 1, 0) + block * (len(ids) + 1)) - block * (len(ids) + 1)
+        asks = np.flatnonzero(later & (side[taken] == 0))
+        at = taken[asks]
+        n[at] += sums[asks + 1] - sums[first[asks]]
+        last[at] = np.maximum(last[at], most[asks])
+        ends = np.cumsum(~later) - (block << k)  # rows of the earlier half so far; blocks before are full
+        halved = np.empty_like(taken)
+        at = np.arange(len(taken))
+        halved[np.where(later, first + (1 << k) + at - first - ends, first + ends - 1)] = taken
+        taken = halved
+    return pa.table(*_counted(id_, n, ids[np.maximum(last, 1) - 1]))
+
+
 def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each event the customer's latest order of the ninety days before, orders being moved to the events' years by 8400 days."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
@@ -138,8 +240,7 @@ def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cheaper_later(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of orders of which the second is later and costs less than a two-hundredth of the first: how many of each first one, and its last one by key."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("x"), F.col("o_totalprice").alias("y"))
-    pairs = inequality_pairs(o, o.withColumn("y", 200 * F.col("y")))
-    return pairs.groupBy(F.col("a").alias("o_orderkey")).agg(F.count("*").alias("n"), F.max("b").alias("last"))
+    return inequality_counts(o, o.withColumn("y", 200 * F.col("y"))).select(F.col("id").alias("o_orderkey"), "n", "last")
 
 
 QUERIES = {"asof_two_tables": asof_orders, "join_inequality": cheaper_later}
