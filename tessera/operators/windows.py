@@ -74,6 +74,14 @@ def percentiles(df: DataFrame, key: str, value: str, shares: list[float]) -> Dat
     return near.groupBy(key).agg(*[(a + (b - a) * c).alias(f"q{k}") for k, (a, b, c) in enumerate(zip(low, high, part, strict=True), 1)])
 
 
+def percentiles_disc(df: DataFrame, key: str, value: str, shares: list[int]) -> DataFrame:
+    """key and q1, q2, ...: of the values that are not null the one at the rank of each share (in hundredths), rounded up, without interpolation."""
+    rows = row_numbers(df.select(key, value).where(F.col(value).isNotNull()), key, value)
+    at = [F.greatest(F.lit(1), F.floor((F.col("n") * q + 99) / 100)) for q in shares]
+    near = rows.where(F.array_contains(F.array(*at), F.col("rn").cast("long")))
+    return near.groupBy(key).agg(*[F.max(F.when(F.col("rn") == x, F.col(value))).alias(f"q{k}") for k, x in enumerate(at, 1)])
+
+
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     out = row_numbers(ranks_by_counts(orders, "o_orderstatus", "o_orderpriority"), "o_orderstatus", "o_orderkey")
