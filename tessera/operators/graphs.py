@@ -30,11 +30,27 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return seen
 
 
+def reachable_through(entries: DataFrame, exits: DataFrame, starts: DataFrame) -> DataFrame:
+    """node and hops as in reachable, where an edge leads from a to b if an exit of a (node, hub) is an entry of b (node, hub).
+
+    The edges are never made: they are as many as the product of a hub's exits and entries. Hubs are reached instead, along the distinct (entry, exit) of each node, which are
+    at most as many as rows where a node has one of either; then every node is met once by its entries. Null nodes and hubs lead nowhere.
+    """
+    scratch = Scratch(entries.sparkSession, "through")
+    entries, exits = (df.where("node IS NOT NULL AND hub IS NOT NULL").select("node", "hub") for df in (entries, exits))
+    first = scratch.write(starts.select("node").where("node IS NOT NULL").distinct(), "starts")
+    between = entries.withColumnRenamed("hub", "a").join(exits.withColumnRenamed("hub", "b"), "node").select("a", "b").distinct()
+    hubs = reachable(between, exits.join(first, "node", "left_semi").select(F.col("hub").alias("node")))
+    met = entries.join(hubs.select(F.col("node").alias("hub"), F.col("hops") + 1), "hub").toDF("hub", "node", "hops").select("node", "hops")
+    return met.union(first.select("node", F.lit(0))).groupBy("node").agg(F.min("hops").alias("hops"))
+
+
 def reachable_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that can be reached from those of sizes up to 5 by steps to a part of the same brand that is five larger."""
     p = table(spark, sf_dir, "part")
-    edges = p.select(F.col("p_partkey").alias("a"), "p_brand", (F.col("p_size") + 5).alias("p_size")).join(p.select(F.col("p_partkey").alias("b"), "p_brand", "p_size"), ["p_brand", "p_size"])
-    return reachable(edges.select("a", "b"), p.where("p_size <= 5").select(F.col("p_partkey").alias("node")))
+    hub = lambda size: F.when(F.col("p_brand").isNotNull() & F.col("p_size").isNotNull(), F.struct(F.col("p_brand").alias("brand"), size.cast("long").alias("size"))).alias("hub")
+    at = lambda size: p.select(F.col("p_partkey").alias("node"), hub(size))
+    return reachable_through(at(F.col("p_size")), at(F.col("p_size").cast("long") + 5), p.where("p_size <= 5").select(F.col("p_partkey").alias("node")))
 
 
 def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
