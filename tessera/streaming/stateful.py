@@ -25,12 +25,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SESSION = "user_id long, start timestamp, n long, top string, total double, before long"
 
 
+#: Users are dealt over so many keys of the state.
+BUCKETS = 256
+_USERS = "timer long, users array<struct<known:boolean,user:long,start:long,last:long,n:long,cents:long,kinds:map<string,long>,before:long>>"
+
+
 class Sessions(StatefulProcessor):
-    """Sessions of a user's events, which end when none comes for gap milliseconds: one row each, with the kind seen most (ties by name), the sum of the values
+    """Sessions of users' events, which end when none comes for gap milliseconds: one row each, with the kind seen most (ties by name), the sum of the values
     in cents, over 100, and how many sessions the user had before.
 
-    Three states: the open session, the counts of its kinds, and the number of sessions so far. A session is given out when an event after the gap comes, or
-    by a timer when the watermark passes its end; timers that a later event has overtaken do nothing.
+    A key of the state is a bucket of users: for each its open session (none where n is 0), with the counts of its kinds, and the number of sessions so far. The state is read once
+    and written once a bucket and batch, as each call and each access is a message between processes, and calls do not grow with the users. A session is given out when
+    an event after the gap comes, or by the bucket's timer, which is set to the first end of an open one, when the watermark passes its end.
     """
 
     def __init__(self, gap: int):
@@ -38,32 +44,56 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "start long, last long, n long, cents long")
-        self.kinds = handle.getMapState("kinds", "kind string", "n long")
-        self.done = handle.getValueState("done", "n long")
-
-    def _close(self, key: tuple) -> pd.DataFrame:
-        start, _, n, cents = self.open.get()
-        top = min((-row[0], kind[0]) for kind, row in self.kinds.iterator())[1]
-        before = self.done.get()[0] if self.done.exists() else 0
-        self.done.update((before + 1,))
-        self.open.clear()
-        self.kinds.clear()
-        return pd.DataFrame({"user_id": [key[0]], "start": [pd.Timestamp(start, unit="us")], "n": [n], "top": [top], "total": [cents / 100], "before": [before]})
+        self.state = handle.getValueState("users", _USERS)
+
+    def _held(self) -> tuple[int | None, dict]:
+        timer, users = self.state.get() or (None, [])
+        return timer, {(x[0], x[1]): [*x[2:6], dict(x[6]), x[7]] for x in users}
+
+    def _keep(self, timer: int | None, users: dict) -> None:
+        new = min((x[1] // 1000 + self.gap for x in users.values() if x[2]), default=None)
+        if new != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if new is not None:
+                self.handle.registerTimer(new)
+        self.state.update((new, [(*who, *x) for who, x in users.items()]))
+
+    @staticmethod
+    def _close(who: tuple, x: list, ended: list) -> None:
+        top = min((-many, kind) for kind, many in x[4].items())[1]
+        ended.append((who[1] if who[0] else None, pd.Timestamp(x[0], unit="us"), x[2], top, x[3] / 100, x[5]))
+        x[:] = [0, 0, 0, 0, {}, x[5] + 1]
+
+    @staticmethod
+    def _told(ended: list) -> Iterator[pd.DataFrame]:
+        if ended:
+            out = pd.DataFrame(ended, columns=["user_id", "start", "n", "top", "total", "before"])
+            yield out.assign(user_id=pd.array([r[0] for r in ended], "Int64"))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        for at, kind, cents in zip(batch["at"].tolist(), batch["event_type"].tolist(), batch["cents"].tolist(), strict=True):
-            if self.open.exists() and at - self.open.get()[1] >= 1000 * self.gap:
-                yield self._close(key)
-            start, _, n, sum_ = self.open.get() if self.open.exists() else (at, at, 0, 0)
-            self.open.update((start, at, n + 1, sum_ + cents))
-            self.kinds.updateValue((kind,), ((self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0) + 1,))
-        self.handle.registerTimer(self.open.get()[1] // 1000 + self.gap)
+        events = sorted(row for some in rows for row in zip(*(some[c].tolist() for c in ("at", "event_id", "known", "user", "event_type", "cents")), strict=True))
+        (timer, users), ended, gap = self._held(), [], 1000 * self.gap
+        for at, _, known, user, kind, cents in events:
+            x = users.get((known, user))
+            if x is None:
+                x = users[known, user] = [0, 0, 0, 0, {}, 0]
+            if x[2] and at - x[1] >= gap:
+                self._close((known, user), x, ended)
+            if not x[2]:
+                x[0] = at
+            x[1], x[2], x[3] = at, x[2] + 1, x[3] + cents
+            x[4][kind] = x[4].get(kind, 0) + 1
+        self._keep(timer, users)
+        yield from self._told(ended)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists() and self.open.get()[1] // 1000 + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
-            yield self._close(key)
+        (_, users), ended, now = self._held(), [], max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        for who, x in users.items():
+            if x[2] and x[1] // 1000 + self.gap <= now:
+                self._close(who, x, ended)
+        self._keep(None, users)
+        yield from self._told(ended)
 
     def close(self) -> None:
         pass
@@ -96,8 +126,10 @@ def first_seen(events: DataFrame, ttl: int) -> DataFrame:
 
 def sessions(events: DataFrame, gap: int, delay: str) -> DataFrame:
     """SESSION rows of a stream of events (event_id, user_id, event_type, value, ts); rows later than delay behind the latest one may be left out."""
-    rows = events.withWatermark("ts", delay).select("user_id", "event_id", "event_type", "ts", F.unix_micros("ts").alias("at"), F.round(100 * F.col("value")).cast("long").alias("cents"))
-    return rows.groupBy("user_id").transformWithStateInPandas(Sessions(gap), SESSION, "append", "eventTime")
+    known, user = F.col("user_id").isNotNull().alias("known"), F.coalesce("user_id", F.lit(0)).cast("long").alias("user")
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).alias("bucket")
+    rows = events.withWatermark("ts", delay).select(bucket, known, user, "event_id", "event_type", "ts", F.unix_micros("ts").alias("at"), F.round(100 * F.col("value")).cast("long").alias("cents"))
+    return rows.groupBy("bucket").transformWithStateInPandas(Sessions(gap), SESSION, "append", "eventTime")
 
 
 def run_on(df: DataFrame, where: str, clocked: bool = False) -> None:
@@ -114,10 +146,10 @@ def run_on(df: DataFrame, where: str, clocked: bool = False) -> None:
 
 
 def in_files(events: DataFrame, files: int, where: str) -> list[DataFrame]:
-    """Events cut by time into files of about equal numbers, earlier ones first."""
+    """Events cut by time into files of about equal numbers, earlier ones first. Tasks read the events side by side, and one writes a file."""
     bounds = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [k / files for k in range(1, files)], 10_000)).first()[0] or []
     cut = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>"), lambda b: b <= F.unix_micros(F.col("ts").cast("timestamp"))))
-    return [events.where(cut == k).coalesce(1) for k in range(len(set(bounds)) + 1)]
+    return [events.where(cut == k).repartition(1) for k in range(len(set(bounds)) + 1)]
 
 
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
